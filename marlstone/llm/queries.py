@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, tokenizer
+from . import abuse, leakage, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,22 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found)}
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return abuse.score(docs, abuse.fit(docs, _read(spark, sf_dir, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(_scores(spark, sf_dir))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("doc_id", *[F.round(k, 6).alias(k) for k in abuse.LABELS])
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_scores(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL: dict = {}
