@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, leakage, tokenizer
+from . import abuse, leakage, products, residue, tokenizer
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(_read(spark, sf_dir, "products_html"))
+
+
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, market) of the pages that stay."""
+    return residue.without_residue(_read(spark, sf_dir, "products_html").select("row_id", "market", "html")).select("row_id", "market")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.main_body(_read(spark, sf_dir, "products_html"))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.main_text(_read(spark, sf_dir, "products_html"))
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.groups(_read(spark, sf_dir, "parsed_merged"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.pairs(_products(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(listing_id, product): one row for each listing with its product's id."""
+    return _products(spark, sf_dir)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_documents(_read(spark, sf_dir, "documents"))
 
@@ -44,5 +74,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_scores(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_kept, p4_found, p4_text, p5_found, p5_groups, p8_ids, p8_roundtrip, p9_found, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL: dict = {}
