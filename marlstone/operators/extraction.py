@@ -134,7 +134,7 @@ def description_text(root: Node, selectors: list[str]) -> str:
 
 
 def read_listing(html: str | None, profile: Profile = GENERAL) -> dict[str, str]:
-    """The fields of one page, '' for what it lacks."""
+    """The fields of one page, '' for what it lacks. Reviews that several selectors find count each time; the first two are kept."""
     root = parse(html)
     sel = profile.selectors
     rating = _texts(root, sel("rating")) or table_value(root, TABLE_LABELS["rating"])

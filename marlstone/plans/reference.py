@@ -302,7 +302,7 @@ def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("rec_id", F.col("j").isNotNull().alias("readable"), F.coalesce(F.get_json_object("j", "$.market"), F.get_json_object("j", "$.market_name")).alias("market"))
 
 
-@_query("""SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE event_type = 'click' END AS relevant, CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'click' THEN 'abortion' ELSE 'none' END AS category,
+@_query("""SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN NULL WHEN event_type = 'click' THEN 'true' ELSE 'false' END AS relevant, CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'click' THEN 'abortion' ELSE 'none' END AS category,
   CASE WHEN event_type <> 'error' THEN round(value, 3) END AS confidence FROM events""")
 def verdict_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies made of events: errors reply with a list, views without a usable flag, clicks with a category in capitals."""
@@ -310,7 +310,7 @@ def verdict_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.when(e == "error", F.lit("[1]")).otherwise(F.to_json(F.struct(F.when(e == "view", F.lit("maybe")).otherwise((e == "click").cast("string")).alias("relevant"), F.when(e == "click", F.lit(" Abortion")).otherwise("other").alias("category"), F.col("value").alias("confidence"))))
     reply = F.regexp_replace(reply, '"(true|false)"', "$1")
     t = read_table(spark, sf_dir, "events").select("event_id", T.verdict(reply).alias("v"))
-    return t.select("event_id", "v.relevant", "v.category", "v.confidence")
+    return t.select("event_id", F.col("v.relevant").cast("string").alias("relevant"), "v.category", "v.confidence")
 
 
 # ---- joins, sets and reports ------------------------------------------------------------------------------------
