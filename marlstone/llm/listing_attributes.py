@@ -44,6 +44,7 @@ _STATES_PACK = re.compile(r"(?:contents?:|supplied as|you get|each order holds|i
 _STATES_STRENGTH = re.compile(r"(?:active content:?|dose per unit is|strength:?|wirkstoff:?)\s*([^!?\n]{0,60})", re.I)
 _STATES_NAME = [re.compile(p) for p in (r"Brand:\s*([^\W\d_]{4,})", r"[Ss]old under the name\s+([^\W\d_]{4,})", r"This is\s+([^\W\d_]{4,})\s+in its")]
 _NAME_OF = re.compile(r"(?:^|[.!?]\s+)([^\W\d_]{4,})\s*\(([^\W\d_]{4,})\)\s*\.")
+_BESIDE = re.compile(r"(?<!\w)([^\W\d_]{4,})\s*\(\s*([^\W\d_]{4,})\s*\)")
 _WORDS = re.compile(r"[^\W\d_]{3,}")
 _UNIT_WORDS = {w for u in (*MASS, *VOLUME) for w in re.findall(r"[^\W\d_]+", u)}
 _DROP = set(MARKETING) | _UNIT_WORDS | {w for n in _FORM_OF for w in n.split()}
@@ -56,7 +57,7 @@ class Listing(NamedTuple):
     generic: str  # a title word before 'Rx' or 'generic', or ''
     form: str
     strength: str  # micrograms, or micrograms per millilitre with '/ml'; '' if unknown
-    pack: str  # units, or microlitres with 'ul'; '' if unknown
+    pack: str  # units, or for liquids vessels x microlitres; '' if unknown
 
 
 def _norm(text: str | None) -> str:
@@ -94,7 +95,7 @@ def pack(text: str, kind: str) -> str:
         rest = _STRENGTH.sub(" ", text)
         m = _VOLUME.search(rest)
         if m:
-            return _plain(int(m.group(1) or 1) * _number(m.group(2)) * VOLUME[re.sub(r"\s+", " ", m.group(3).lower())]) + "ul"
+            return f"{int(m.group(1) or 1)}x" + _plain(_number(m.group(2)) * VOLUME[re.sub(r"\s+", " ", m.group(3).lower())]) + "ul"
         if kind in LIQUIDS:
             return ""
     for p in _PACKS:
@@ -132,4 +133,6 @@ def read(title: str | None, description: str | None, dosage: str | None) -> List
     lower = t.lower()
     g = re.search(r"([^\W\d_]{3,})\s+(?:rx|generic)(?!\w)", lower)
     words = tuple(w for w in _WORDS.findall(lower) if w not in _DROP)
+    if not substance and (m := _BESIDE.search(lower)) and m.group(1) in words and m.group(2) in words:
+        substance = m.group(2)
     return Listing(words, name, substance, g.group(1) if g else "", f, s, p)

@@ -23,6 +23,7 @@ PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 16, 16, 10, 24
 INPUT = PATH_DIM + WORD_DIM + SHAPES
 WEIGHTS = os.path.join(os.path.dirname(__file__), "page_model.npz")
 BATCH = 128
+CELLS = 1 << 16  # leaves of a batch with its padding
 
 _word_ids: dict[str, int] = {}
 _path_ids: dict[tuple[str, ...], np.ndarray] = {}
@@ -155,8 +156,12 @@ class Labeller:
         """Role of each leaf of each page; pages are batched by length."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(pages)
         order = sorted((n for n in range(len(pages)) if pages[n][0]), key=lambda n: len(pages[n][0]))
-        for s in range(0, len(order), BATCH):
+        s = 0
+        while s < len(order):
             part = order[s : s + BATCH]
+            while len(part) > 1 and len(part) * len(pages[part[-1]][0]) > CELLS:  # padding is bounded, too
+                part = part[: len(part) // 2]
+            s += len(part)
             z, b = self.logits([pages[n] for n in part])
             best = z.argmax(1)
             at = 0

@@ -23,6 +23,7 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _ATTR = re.compile(r"""\b(class|id|role|width|href)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RANDOM = re.compile(r"^(?=.*\d)[a-z]?[0-9a-f]{2,8}$", re.I)
 _HEX = re.compile(r"^[a-gx]?[0-9a-f]{2,5}$", re.I)
+DEPTH = 16  # elements of a path, nearest last
 _TAG_CACHE: dict[str, tuple] = {}
 
 
@@ -44,7 +45,7 @@ def _parse_tag(raw: str) -> tuple:
             token += ">" + re.sub(r"[0-9a-f]*\d[0-9a-f]*", "0", v)[:12]
         else:
             for w in value.split():
-                token += "." + ("~" if _RANDOM.match(w) or _HEX.match(w) else w.lower()[:40])
+                token += "." + ("~" if _RANDOM.match(w) or _HEX.match(w) else w.lower()[:64])
     return 1, name, token, _CLOSES.get(name) or (("p",) if name in _BLOCKS_P else None)
 
 
@@ -94,7 +95,7 @@ def leaves(page: str | None) -> tuple[list[str], list[tuple[str, ...]]]:
             text = _html.unescape(part) if "&" in part else part
             if text.strip():
                 if path is None:
-                    path = tuple(stack)
+                    path = tuple(stack[-DEPTH:])
                 texts.append(text)
                 paths.append(path)
     return texts, paths

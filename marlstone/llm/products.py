@@ -26,7 +26,8 @@ SAMPLE = 6000  # signatures on which encoder and centroids are fitted, by hash o
 CHECKED = 256  # of them searched exactly too, to tune the probes
 RECALL = 0.97
 BLOCK = 4096  # vectors of a cell in one task at most
-SIMILAR = 0.55  # cosine under which names can't be one misspelt
+SIMILAR = 0.55  # cosine above which signatures are neighbours, at most; lower if misspelt copies lie further apart
+MISSED_COPIES = 0.01  # share of the misspelt copies that may lie further
 ATTESTED = 4  # listings that make a name well attested
 MAX_CELLS = 2048
 
@@ -103,25 +104,40 @@ class Index:
         v = self.encoder.encode(texts)
         k = int(np.clip(np.sqrt(total) / 2, 1, MAX_CELLS))
         self.centroids = E.centroids(v, k) if len(v) else np.zeros((1, E.DIM), np.float32)
-        self.probes = self.tune(v)
+        self.similar = SIMILAR
+        if len(v) > 1:
+            r = np.random.default_rng(E.SEED + 1)
+            n = min(4 * CHECKED, len(v))
+            copies = self.encoder.encode([E.corrupt(t, r, only_letters=True) for t in texts[:n]])
+            self.similar = float(min(SIMILAR, np.quantile((copies * v[:n]).sum(1), MISSED_COPIES)))
+        self.probes = self.tune(texts, v)
 
     def cells(self, v: np.ndarray, probes: int) -> np.ndarray:
         s = v @ self.centroids.T
         probes = min(probes, s.shape[1])
         return np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(v), 1))
 
-    def tune(self, v: np.ndarray) -> int:
-        """The fewest probes that find RECALL of the exact neighbours above SIMILAR of the checked queries."""
-        if len(v) < 2:
+    def tune(self, texts: list[str], v: np.ndarray) -> int:
+        """The fewest probes, two at least, with which RECALL of the exact neighbours of the checked queries is found.
+
+        Queries are checked titles and corrupted copies of them; neighbours are all others that are similar enough, by brute force,
+        and the title that a copy was made of.
+        """
+        if len(v) < 2 or len(self.centroids) == 1:
             return 1
+        r = np.random.default_rng(E.SEED)
         home = (v @ self.centroids.T).argmax(1)
-        q = v[:CHECKED]
-        near = (q @ v.T >= SIMILAR).nonzero()
-        order = np.argsort(-(q @ self.centroids.T), axis=1)
-        place = np.argsort(order, axis=1)
-        need = place[near[0], home[near[1]]]
-        for probes in range(1, len(self.centroids) + 1):
-            if (need < probes).mean() >= RECALL:
+        n = min(CHECKED, len(v))
+        q = np.concatenate([v[:n], self.encoder.encode([E.corrupt(t, r) for t in texts[:n]])])
+        near = q @ v.T >= self.similar
+        near[np.arange(n), np.arange(n)] = False
+        near[n + np.arange(n), np.arange(n)] = True
+        a, b = near.nonzero()
+        place = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1), axis=1)
+        need = place[a, home[b]]
+        copies = (a >= n) & (b == a - n)
+        for probes in range(2, len(self.centroids)):
+            if (need < probes).mean() >= RECALL and (need[copies] < probes).mean() >= RECALL:
                 return probes
         return len(self.centroids)
 
@@ -155,7 +171,9 @@ def links(signatures: DataFrame, index: Index) -> DataFrame:
     stored = placed.join(sizes, placed["home"] == sizes["cell"]).select("cell", F.pmod(F.xxhash64("sig"), "blocks").alias("block"), F.lit(0).alias("side"), "sig", "name", "form", "strength", "pack", "n", "v")
     asked = placed.withColumn("cell", F.explode("probe")).join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", F.lit(1).alias("side"), "sig", "name", "form", "strength", "pack", "n", "v")
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    similar = index.similar
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s, q = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out_a: list[int] = []
         out_b: list[int] = []
@@ -165,7 +183,7 @@ def links(signatures: DataFrame, index: Index) -> DataFrame:
             sk, qk = sk[: len(s)], sk[len(s) :]
             for at in range(0, len(q), 1024):  # blocks of queries bound the memory
                 part = q.iloc[at : at + 1024]
-                hit = ((np.stack(part["v"].to_numpy()) @ sv.T) >= SIMILAR) & (qk[at : at + 1024, None] == sk[None, :])
+                hit = ((np.stack(part["v"].to_numpy()) @ sv.T) >= similar) & (qk[at : at + 1024, None] == sk[None, :])
                 for i, j in zip(*np.nonzero(hit)):
                     a, b = int(part["sig"].iat[i]), ids[j]
                     if a != b and same_name(part["name"].iat[i], names[j], int(part["n"].iat[i]), ns[j]):

@@ -29,8 +29,8 @@ def subwords(text: str) -> list[int]:
     return out or [0]
 
 
-def corrupt(text: str, r: np.random.Generator) -> str:
-    """A copy as a careless seller would write it."""
+def corrupt(text: str, r: np.random.Generator, only_letters: bool = False) -> str:
+    """A copy as a careless seller would write it; with ``only_letters`` no word is left out or moved."""
     words = text.split()
     at = [n for n, w in enumerate(words) if w[0] != "=" and len(w) > 4]
     if at:
@@ -38,6 +38,8 @@ def corrupt(text: str, r: np.random.Generator) -> str:
         w, k = words[n], int(r.integers(1, len(words[n]) - 1))
         kind = r.integers(4)
         words[n] = w[:k] + w[k + 1 :] if kind == 0 else w[:k] + w[k] + w[k:] if kind == 1 else w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :] if kind == 2 else w[:k] + chr(97 + int(r.integers(26))) + w[k + 1 :]
+    if only_letters:
+        return " ".join(words)
     if len(words) > 2 and r.random() < 0.3:
         words.pop(int(r.integers(len(words))))
     if r.random() < 0.3:
