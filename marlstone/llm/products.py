@@ -26,8 +26,8 @@ SAMPLE = 6000  # signatures on which encoder and centroids are fitted, by hash o
 CHECKED = 256  # of them searched exactly too, to tune the probes
 RECALL = 0.97
 BLOCK = 4096  # vectors of a cell in one task at most
-SIMILAR = 0.55  # cosine above which signatures are neighbours, at most; lower if misspelt copies lie further apart
-MISSED_COPIES = 0.01  # share of the misspelt copies that may lie further
+SIMILAR = 0.4  # cosine above which signatures are neighbours, at most; lower if misspelt copies lie further apart
+MISSED_COPIES = 0.005  # share of the misspelt copies that may lie further
 ATTESTED = 4  # listings that make a name well attested
 MAX_CELLS = 2048
 
@@ -107,9 +107,9 @@ class Index:
         self.similar = SIMILAR
         if len(v) > 1:
             r = np.random.default_rng(E.SEED + 1)
-            n = min(4 * CHECKED, len(v))
-            copies = self.encoder.encode([E.corrupt(t, r, only_letters=True) for t in texts[:n]])
-            self.similar = float(min(SIMILAR, np.quantile((copies * v[:n]).sum(1), MISSED_COPIES)))
+            at = np.arange(4 * CHECKED) % len(v)  # small tables give several copies each
+            copies = self.encoder.encode([E.corrupt(texts[n], r, only_letters=True) for n in at])
+            self.similar = float(min(SIMILAR, np.quantile((copies * v[at]).sum(1), MISSED_COPIES)))
         self.probes = self.tune(texts, v)
 
     def cells(self, v: np.ndarray, probes: int) -> np.ndarray:
