@@ -80,6 +80,11 @@ def _first(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _blanks(c: Column) -> Column:
+    """The text with no-break, thin and figure blanks as plain ones; null as ''."""
+    return F.translate(F.coalesce(c, F.lit("")), "\u00a0\u202f\u2009\u2007", "    ")
+
+
 def price_amounts(df: DataFrame) -> DataFrame:
     """(listing_id, n, number, alias): each amount of ``price`` with its own unit, that of its range, or that of the text.
 
@@ -88,12 +93,12 @@ def price_amounts(df: DataFrame) -> DataFrame:
     """
     unit = _any(PRICE_UNITS)
     amount = rf"(?iu)({unit})?\s*({_NUMBER})\s*({unit})?"
-    p = F.coalesce(F.col("price"), F.lit(""))
+    p = _blanks(F.col("price"))
     found = F.transform(
         F.regexp_extract_all(p, F.lit(amount), F.lit(0)),
         lambda m: F.struct(F.regexp_extract(m, amount, 2).alias("number"), F.coalesce(spelling(F.regexp_extract(m, amount, 1)), spelling(F.regexp_extract(m, amount, 3))).alias("alias")),
     )
-    text = F.concat_ws(" \n ", "listing_title", "description")
+    text = _blanks(F.concat_ws(" \n ", "listing_title", "description"))
     said = rf"(?iu)(?:pric|quot|bill|amounts?|charg|preis|prix|precio|preço|цен)[^.\n]*?(?<![\p{{L}}])({unit})"
     named = rf"(?iu)(?<![\p{{L}}\p{{N}}])({unit})"
     other = F.coalesce(spelling(_first(text, said, 1)), spelling(_first(text, named, 1)))
@@ -111,11 +116,11 @@ def dose_amounts(df: DataFrame) -> DataFrame:
     """
     unit = _any(DOSE_UNITS, FOREIGN_UNITS)
     amount = rf"(?iu)({_NUMBER})\s*({unit})?"
-    p = F.coalesce(F.col("dosage"), F.lit(""))
+    p = _blanks(F.col("dosage"))
     found = F.transform(F.regexp_extract_all(p, F.lit(amount), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, amount, 1).alias("number"), spelling(F.regexp_extract(m, amount, 2)).alias("alias")))
     mass = _any(["ng", "ug", "mg", "g", "kg"])
     stated = rf"(?iu)(?<![\p{{L}}\p{{N}}.,])({_NUMBER})\s*({mass})"
-    text = F.concat_ws(" \n ", "listing_title", "description")
+    text = _blanks(F.concat_ws(" \n ", "listing_title", "description"))
     pairs = F.transform(F.regexp_extract_all(text, F.lit(stated), F.lit(0)), lambda m: F.struct(decimal_number(F.regexp_extract(m, stated, 1)).alias("number"), spelling(F.regexp_extract(m, stated, 2)).alias("alias")))
     t = df.select("listing_id", found.alias("_a"), F.when(F.exists(found, lambda x: x["alias"].isNull()), pairs).alias("_t"))
     t = t.select("listing_id", "_t", F.explode("_a").alias("_x"))

@@ -155,7 +155,7 @@ def test_prices(spark, price, text, want):
 
 
 @pytest.mark.parametrize(("dose", "title", "want"), [
-    ("5mg | 0.05 G | 400 IU", "", [("mass", 5000, 50000)]), ("250", "CAPS 250 МГ", [("mass", 250000, 250000)]), ("0.075", "x 0.075mg", [("mass", 75, 75)]), ("10", "nothing", []), ("400 IU", "10 mg", []),
+    ("5mg | 0.05 G | 400 IU", "", [("mass", 5000, 50000)]), ("250", "CAPS 250 МГ", [("mass", 250000, 250000)]), ("0.075", "x 0.075mg", [("mass", 75, 75)]), ("50", "50\u00a0мг, tab", [("mass", 50000, 50000)]), ("10", "nothing", []), ("400 IU", "10 mg", []),
     ("6.8 fl oz | 5000 mikrogramm / 1 mL", "", [("mass", 5000, 5000), ("volume", 1000, 201100)]), ("0,4 gr.", "", [("mass", 400000, 400000)]), (None, "5 mg", []), ("", "", []), ("50 µg", "", [("mass", 50, 50)]), ("50 μG", "", [("mass", 50, 50)]),
 ])
 def test_doses(spark, dose, title, want):
