@@ -42,6 +42,9 @@ _LISTS = {
         nue nues baiser gémissait cuisses chaudes porno seins bite
         nua nuas nudes tesão transar gemia taradas pornô seios pelada
         голая голые голую сексом секс порно стонала грудь трахать горячие""",
+    # Of these one word is enough.
+    "explicit": """fuck fucked fucking nudes horny pussy cock cocks dick dicks cum tits boobs blowjob blowjobs anal porn porno pornos pornô hardcore xxx moaned moaning orgasm panties thrust hookup threesome gangbang masturbate
+        geil geile ficken fick nacktbilder stöhnte titten muschi follar follamos gemía polla coño tetas desnudas gémissait cuisses baiser tesão transar gemia taradas pelada секс сексом порно стонала голая трахать""",
     "you": "you your yours yourself u ur du dich dir dein deine deinen ihr euch eure dich tú tu te ti tus vosotros eres você vocês seu sua toi vous votre ton ta es ты тебя тебе твой твою вы вас вам whoever listen crew packed packer vendor",
     "me": "i me my myself mine i'm ich mich mir mein meine yo mi me je moi mon ma eu meu minha я меня мне мой моя",
     # Words of reports, rules and care.

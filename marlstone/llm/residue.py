@@ -157,15 +157,33 @@ def labelled(batch: pd.DataFrame, html: str = "html") -> tuple[list, list[np.nda
     return pages, roles, judge(pages, roles, notes, ratios)
 
 
+SLICE = 512  # pages that are parsed and labelled together
+ARROW_ROWS = "2048"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keeps Arrow batches of wide page rows small, for this session; a smaller setting stays."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= int(ARROW_ROWS):
+        spark.conf.set(key, ARROW_ROWS)
+    return df
+
+
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for s in range(0, len(b), SLICE):
+            yield b.iloc[s : s + SLICE].reset_index(drop=True)
+
+
 def find_residue(pages: DataFrame) -> DataFrame:
     """(row_id): pages whose title, price or main text is residue. Null, empty and blank html is none. One map, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             _, _, case = labelled(b)
             yield pd.DataFrame({"row_id": b["row_id"].to_numpy()[case]})
 
-    return pages.select("row_id", "html").filter("html is not null and trim(html) <> ''").mapInPandas(run, "row_id bigint")
+    return bounded_batches(pages).select("row_id", "html").filter("html is not null and trim(html) <> ''").mapInPandas(run, "row_id bigint")
 
 
 def without_residue(pages: DataFrame) -> DataFrame:
@@ -177,7 +195,7 @@ def main_body(pages: DataFrame) -> DataFrame:
     """(row_id, node_no): the leaves of the main body of pages that are no residue; node_no as in pages.leaves, from 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             _, roles, case = labelled(b)
             ids, counts, nodes = b["row_id"].to_numpy(), [], []
             for r, c in zip(roles, case):
@@ -186,14 +204,14 @@ def main_body(pages: DataFrame) -> DataFrame:
                 nodes.append(at)
             yield pd.DataFrame({"row_id": np.repeat(ids, counts), "node_no": np.concatenate(nodes) if nodes else np.zeros(0, dtype=np.int64)})
 
-    return pages.select("row_id", "html").filter("html is not null and trim(html) <> ''").mapInPandas(run, "row_id bigint, node_no bigint")
+    return bounded_batches(pages).select("row_id", "html").filter("html is not null and trim(html) <> ''").mapInPandas(run, "row_id bigint, node_no bigint")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(row_id, title, text): the main body's text, one line for each leaf; '' for residue and for pages without content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             parsed, roles, case = labelled(b)
             titles, texts = [], []
             for (t, _), r, c in zip(parsed, roles, case):
@@ -201,4 +219,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append("" if c else "\n".join(x.strip() for x, k in zip(t, r) if k > 0))
             yield pd.DataFrame({"row_id": b["row_id"], "title": titles, "text": texts})
 
-    return pages.select("row_id", "html").mapInPandas(run, "row_id bigint, title string, text string")
+    return bounded_batches(pages).select("row_id", "html").mapInPandas(run, "row_id bigint, title string, text string")
