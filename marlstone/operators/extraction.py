@@ -178,6 +178,13 @@ def parse_listings(pages: DataFrame, id_col: str = "row_id", profile: Profile =
     return p.select(id_col, "product_url", "category_page", "html").mapInPandas(run, schema)
 
 
+def _joined(base: str | None, href: str | None) -> str | None:
+    try:
+        return urljoin(base or "", href or "") or None
+    except ValueError:
+        return None
+
+
 def page_links(html: str | None, base: str) -> list[tuple[str, str]]:
     """(absolute address without fragment, text) of a page's anchors, distinct, in document order."""
     out: dict[str, str] = {}
@@ -195,7 +202,7 @@ def product_links(html: str | None, base: str) -> list[str]:
     """Product addresses of a category page: of product cards, else of all anchors that look like one; in document order."""
     root = parse(html)
     for s in CARDS:
-        urls = list(dict.fromkeys(urljoin(base, a.get("href")) for a in root.select(s) if a.get("href")))
+        urls = list(dict.fromkeys(u for a in root.select(s) if (u := _joined(base, a.get("href")))))
         urls = [u for u in urls if u != base and "product-category" not in u]
         if urls:
             return urls
@@ -210,12 +217,53 @@ def pager_links(html: str | None, base: str) -> list[str]:
     root = parse(html)
     host = urlsplit(base).netloc
     for s in PAGERS:
-        urls = [u for u in (urljoin(base, a.get("href")) for a in root.select(s) if a.get("href")) if urlsplit(u).netloc == host]
+        urls = [u for u in (_joined(base, a.get("href")) for a in root.select(s) if a.get("href")) if u and urlsplit(u).netloc == host]
         if urls:
             return sorted(set(urls))
     return []
 
 
+# Selectors of product titles on category pages; words of addresses that are no categories; hints of those that are.
+CARD_TITLES = ["li.product h2", "li.product h3", ".woocommerce-loop-product__title", "a.woocommerce-LoopProduct-link", "li.product a", ".product-title", "h2 a"]
+NO_CATEGORY = frozenset("login logout register signup account cart checkout basket wishlist search contact about help faq support terms privacy policy blog news feed rss author user users profile messages orders order wallet track".split())
+CATEGORY_HINTS = ["category", "categories", "product-category", "shop-by", "/c/", "/cat/", "department", "collection", "catalog", "/d/", "section"]
+_DETAIL = re.compile(r"/(?:product|item|listing)/|action=view|[0-9a-f-]{36}", re.I)
+
+
+def sample_titles(html: str | None, most: int = 5) -> list[str]:
+    """The first distinct product titles of a category page, of 4 to 119 characters; a report of ``most``."""
+    root = parse(html)
+    found = [t for s in CARD_TITLES for n in root.select(s) if 3 < len(t := n.text()) < 120]
+    return list(dict.fromkeys(found))[:most]
+
+
+def forum_links(html: str | None, base: str) -> list[str]:
+    """Addresses of a forum page's posts, without fragment, distinct, in document order."""
+    urls = [_joined(base, a.get("href")) for a in parse(html).select(".post-title a[href]")]
+    return list(dict.fromkeys(u.split("#")[0] for u in urls if u))
+
+
+def category_links(html: str | None, base: str) -> list[tuple[str, str]]:
+    """(address, text) of the links of a site's home that can be categories.
+
+    On the same host, below the root, no product's detail, no segment that names something else; at most two segments deep
+    unless the address hints at a category.
+    """
+    host = urlsplit(base).netloc
+    out = []
+    for u, text in page_links(html, base):
+        try:
+            parts = urlsplit(u)
+        except ValueError:
+            continue
+        segs = [x for x in parts.path.split("/") if x]
+        if parts.netloc != host or not segs or _DETAIL.search(u) or NO_CATEGORY & {x.lower() for x in segs}:
+            continue
+        if len(segs) <= 2 or any(h in u.lower() for h in CATEGORY_HINTS):
+            out.append((u, text))
+    return out
+
+
 def hosts_in(html: str | None, pattern: str) -> dict[str, str]:
     """Hosts that fit a pattern: of anchors with their text first, then of any mention, with an empty name; the first wins."""
     rx = re.compile(pattern, re.I)
@@ -272,13 +320,6 @@ pager_links_column = _column(lambda h, u: pager_links(h, u or ""), "array<string
 links_column = _column(lambda h, u: [{"href": a, "text": t} for a, t in page_links(h, u or "")], "array<struct<href:string,text:string>>")
 
 
-def _joined(base: str | None, href: str | None) -> str | None:
-    try:
-        return urljoin(base or "", href or "") or None
-    except ValueError:
-        return None
-
-
 resolved_url = _column(_joined, "string")
 
 

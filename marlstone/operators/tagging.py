@@ -42,3 +42,15 @@ def flat_terms(dictionary: DataFrame) -> DataFrame:
     """(term, category): distinct terms whatever their case; the first spelling by category and term stays, with its category."""
     t = dictionary.withColumn("term", F.trim("term")).filter("term <> ''")
     return t.groupBy(F.lower("term").alias("_k")).agg(F.min(F.struct("category", "term")).alias("m")).select("m.term", "m.category")
+
+
+def site_scores(pages: DataFrame, site: str, status: str, terms: list[tuple[str, str, str]], *columns: str) -> DataFrame:
+    """(site, status, score): how many distinct terms a site's pages name; null for a site none of whose pages is 'ok'.
+
+    Terms are tagged page by page and counted after a partial aggregate, so no site's texts are ever put together.
+    """
+    state = pages.groupBy(site).agg(F.min(F.when(F.col(status) == "ok", 0).when(F.col(status) == "walled", 1).otherwise(2)).alias("_s"))
+    hits = tag(pages.filter(F.col(status) == "ok"), terms, *columns).select(site, F.explode("matched_terms").alias("_t"))
+    n = hits.groupBy(site).agg(F.countDistinct("_t").alias("_n"))
+    names = F.when(F.col("_s") == 0, "ok").when(F.col("_s") == 1, "walled").otherwise("dead")
+    return state.join(n, site, "left").select(site, names.alias("status"), F.when(F.col("_s") == 0, F.coalesce("_n", F.lit(0))).alias("score"))

@@ -98,6 +98,18 @@ def filtered_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("listing_id", F.array_join("matched_terms", "; ").alias("matched_terms"), F.array_join("matched_categories", "; ").alias("matched_categories"))
 
 
+@_query(f"""WITH {_TERMS},
+d AS (SELECT source, text, CASE WHEN doc_kind = 'policy' THEN 'walled' WHEN text IS NULL THEN 'dead' ELSE 'ok' END AS status FROM documents WHERE source IS NOT NULL),
+near AS MATERIALIZED (SELECT source, text, term, pattern FROM d JOIN terms ON contains(lower(text), head) WHERE status = 'ok'),
+n AS (SELECT source, count(DISTINCT term) AS n FROM near WHERE regexp_matches(text, pattern) GROUP BY source),
+s AS (SELECT source, min(CASE status WHEN 'ok' THEN 0 WHEN 'walled' THEN 1 ELSE 2 END) AS s FROM d GROUP BY source)
+SELECT source, CASE s WHEN 0 THEN 'ok' WHEN 1 THEN 'walled' ELSE 'dead' END AS status, CASE WHEN s = 0 THEN coalesce(n, 0) ELSE -1 END AS score FROM s LEFT JOIN n USING (source)""")
+def site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_table(spark, sf_dir, "documents").filter("source is not null").select("source", "text", F.when(F.col("doc_kind") == "policy", "walled").when(F.col("text").isNull(), "dead").otherwise("ok").alias("status"))
+    s = tagging.site_scores(t, "source", "status", tagging.load_terms(read_table(spark, sf_dir, "term_dictionary")), "text")
+    return s.withColumn("score", F.coalesce("score", F.lit(-1)).cast("bigint"))
+
+
 @_query("""SELECT term, category FROM (SELECT trim(term) AS term, category, row_number() OVER (PARTITION BY lower(trim(term)) ORDER BY category, trim(term)) AS n FROM term_dictionary WHERE trim(term) <> '') WHERE n = 1""")
 def flat_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.flat_terms(read_table(spark, sf_dir, "term_dictionary"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import extraction, judging, relational, tagging
 from marlstone.sources import csv_tables, sinks
 from marlstone.sources.json_array import JsonArraySource
@@ -96,6 +97,19 @@ def test_links():
     assert extraction.page_links("<a href='http://[bad'>x</a>", "http://h") == []
 
 
+def test_category_and_forum_links():
+    html = '<a href="/c/pills">Pills</a><a href="/cart">Cart</a><a href="/">Home</a><a href="http://o/c/x">o</a><a href="/item/5">i</a><a href="/a/b/c">deep</a><a href="/shop-by/a/b/c#x">D</a><div class="post-title"><a href="/post/1#r">P</a></div><h2><a>Tiny</a></h2><h2><a>ab</a></h2>'
+    assert extraction.category_links(html, "http://h/") == [("http://h/c/pills", "Pills"), ("http://h/shop-by/a/b/c", "D"), ("http://h/post/1", "P")]
+    assert extraction.forum_links(html, "http://h/x") == ["http://h/post/1"] and extraction.sample_titles(html) == ["Tiny"]
+    assert extraction.category_links(None, "http://h/") == [] and extraction.forum_links("", "") == []
+
+
+def test_site_scores(spark):
+    df = spark.createDataFrame([("a", "ok", "pill and ring"), ("a", "ok", "PILL"), ("a", "dead", None), ("b", "walled", "pill"), ("b", "dead", ""), ("c", "dead", "pill"), ("d", "ok", None)], "site string, st string, t string")
+    terms = [("c", "pill", T.term_pattern("pill")), ("c", "ring", T.term_pattern("ring"))]
+    assert rows(tagging.site_scores(df, "site", "st", terms, "t")) == [("a", "ok", 2), ("b", "walled", None), ("c", "dead", None), ("d", "ok", 0)]
+
+
 def test_parse_listings_frame(spark):
     df = spark.createDataFrame([(1, "http://h/item/x", "c", LISTING, "z"), (2, "http://h/item/y", "c", "", "z"), (3, "http://h/about", "c", LISTING, "z"), (4, None, None, None, None)], "row_id bigint, product_url string, category_page string, html string, price string")
     assert [(r.row_id, r.listing_title) for r in extraction.parse_listings(df).collect()] == [(1, "Fine pill 5 mg")]
