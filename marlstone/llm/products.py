@@ -217,8 +217,11 @@ def groups(listings: DataFrame) -> DataFrame:
 
     Listings without title and description state nothing, have product null and are in no group. Unknown attributes only equal unknown ones.
     """
-    one = listings.dropDuplicates(["listing_id"])
-    full = cut_lineage(named(attributes(one)))
+    read = attributes(listings)
+    rest = [c for c in read.columns if c != "listing_id"]
+    # Attributes are shuffled, not texts; of differing rows with one id the least counts.
+    one = cut_lineage(read.groupBy("listing_id").agg(F.min(F.struct(*rest)).alias("a")).select("listing_id", "a.*"))  # read three times below
+    full = cut_lineage(named(one))
     key = ["name", "form", "strength", "pack"]
     sig = full.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("listing_id").alias("sig"))
     # How well a name is attested counts over all its forms and packs.
