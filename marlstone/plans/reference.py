@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedupe, extraction, page_flags, relational, tagging
-from ..session import read_table
+from ..session import read_spread, read_table
 from ..sources.json_records import records_column
 
 QUERIES: dict = {}
@@ -226,28 +226,28 @@ def page_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def parse_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.parse_listings(_pages(spark, sf_dir))
+    return extraction.parse_listings(read_spread(spark, sf_dir, "products_html", "row_id", "product_url", "category_page", "html"))
 
 
 @_query()
 def parse_listing_second_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.parse_listings(_pages(spark, sf_dir), profile=extraction.SECOND, only_products=False)
+    return extraction.parse_listings(read_spread(spark, sf_dir, "products_html", "row_id", "product_url", "category_page", "html"), profile=extraction.SECOND, only_products=False)
 
 
 @_query()
 def nested_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.details(_pages(spark, sf_dir))
+    return extraction.details(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
 
 
 @_query()
 def page_product_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pages(spark, sf_dir).filter("html is not null")
+    t = read_spread(spark, sf_dir, "products_html", "row_id", "product_url", "html").filter("html is not null")
     return t.select("row_id", extraction.product_links_column(F.col("html"), F.col("product_url")).alias("links"), extraction.pager_links_column(F.col("html"), F.col("product_url")).alias("pager"))
 
 
 @_query()
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _pages(spark, sf_dir).filter("html is not null")
+    t = read_spread(spark, sf_dir, "products_html", "row_id", "product_url", "html").filter("html is not null")
     return t.select("row_id", F.explode(extraction.links_column(F.col("html"), F.col("product_url"))).alias("l")).select("row_id", "l.href", "l.text")
 
 

@@ -43,3 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, one Parquet file or folder each."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for a Python map that costs far more than its scan: if the scan has fewer splits than the cluster
+    has cores (one small file), the rows are dealt out; otherwise, and so on any large table, nothing is shuffled."""
+    t = read_table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
