@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read_spread
 from . import abuse, leakage, products, residue, tokenizer
 
 
@@ -13,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(_read(spark, sf_dir, "products_html"))
+    return residue.find_residue(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
 
 
 def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +23,15 @@ def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.main_body(_read(spark, sf_dir, "products_html"))
+    return residue.main_body(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
 
 
 def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.main_text(_read(spark, sf_dir, "products_html"))
+    return residue.main_text(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.groups(_read(spark, sf_dir, "parsed_merged"))
+    return products.groups(read_spread(spark, sf_dir, "parsed_merged", "listing_id", "listing_title", "description", "dosage"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizer.encode_documents(_read(spark, sf_dir, "documents"))
+    return tokenizer.encode_documents(read_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +55,11 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leakage.find_leaks(read_spread(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "source", "text")
     return abuse.score(docs, abuse.fit(docs, _read(spark, sf_dir, "doc_labels")))
 
 
