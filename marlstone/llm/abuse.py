@@ -179,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     views = labels.filter("doc_id is not null and label is not null").groupBy("doc_id", F.coalesce("annotator", F.lit("")).alias("annotator")).agg(F.collect_set("label").alias("ls"))  # at most four labels
     chosen = views.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     views = views.join(chosen, "doc_id", "left_semi")
+    views = F.broadcast(views)  # at most MAX_LABELLED documents, so that no text is shuffled for them
     rows = docs.select("doc_id", "text").join(views, "doc_id").mapInPandas(_feature_rows, "doc_id bigint, annotator string, ls array<string>, x array<float>").orderBy("doc_id", "annotator").toPandas()
     x = [features([t]) for ts in SEED.values() for t in ts]
     y = [[float(k == lab) for lab in LABELS] for k, ts in SEED.items() for _ in ts]
