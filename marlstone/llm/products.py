@@ -6,7 +6,7 @@
 2. Signatures are encoded by the contrastive subword encoder and searched in an inverted file: cells by nearest centroid,
    as many probes as a check against exact neighbours asks for. Cells are cut into blocks of bounded size.
 3. Neighbours that differ in form, strength or pack are vetoed; names must be within small edit distance, and two names that
-   are both well attested stay apart. What remains in both directions (mutual neighbours) is joined into groups.
+   are both well attested stay apart, unless one is as rare beside the other as a misspelling is. What remains in both directions (mutual neighbours) is joined into groups.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ BLOCK = 4096  # vectors of a cell in one task at most
 SIMILAR = 0.4  # cosine above which signatures are neighbours, at most; lower if misspelt copies lie further apart
 MISSED_COPIES = 0.005  # share of the misspelt copies that may lie further
 ATTESTED = 4  # listings that make a name well attested
+MISSPELT = 0.1  # share of a name's listings up to which another spelling, however often it occurs, can be a misspelling of it
 MAX_CELLS = 2048
 
 _FIELDS = "listing_id bigint, words array<string>, name string, substance string, generic string, form string, strength string, pack string"
@@ -83,10 +84,13 @@ def _distance(a: str, b: str, most: int) -> int:
 
 
 def same_name(a: str, b: str, na: int, nb: int) -> bool:
-    """Whether two spellings can be one name: one edit, two in names of ten letters; never if both are well attested."""
+    """Whether two spellings can be one name: one edit, two in names of ten letters; never if both are well attested.
+
+    A spelling is attested only beside the other: misspellings grow with their name's listings, so their share counts.
+    """
     if a == b:
         return True
-    if min(na, nb) >= ATTESTED or min(len(a), len(b)) < 5:
+    if min(na, nb) >= max(ATTESTED, MISSPELT * max(na, nb)) or min(len(a), len(b)) < 5:
         return False
     most = 2 if min(len(a), len(b)) >= 10 else 1
     return _distance(a, b, most) <= most

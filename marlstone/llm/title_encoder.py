@@ -35,9 +35,10 @@ def corrupt(text: str, r: np.random.Generator, only_letters: bool = False) -> st
     at = [n for n, w in enumerate(words) if w[0] != "=" and len(w) > 4]
     if at:
         n = at[r.integers(len(at))]
-        w, k = words[n], int(r.integers(1, len(words[n]) - 1))
+        w, k = words[n], int(r.integers(len(words[n])))
         kind = r.integers(4)
-        words[n] = w[:k] + w[k + 1 :] if kind == 0 else w[:k] + w[k] + w[k:] if kind == 1 else w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :] if kind == 2 else w[:k] + chr(97 + int(r.integers(26))) + w[k + 1 :]
+        j = max(k, 1)  # first and last letters take part in swaps too
+        words[n] = w[:k] + w[k + 1 :] if kind == 0 else w[:k] + w[k] + w[k:] if kind == 1 else w[: j - 1] + w[j] + w[j - 1] + w[j + 1 :] if kind == 2 else w[:k] + chr(97 + int(r.integers(26))) + w[k + 1 :]
     if only_letters:
         return " ".join(words)
     if len(words) > 2 and r.random() < 0.3:

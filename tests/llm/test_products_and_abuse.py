@@ -79,6 +79,16 @@ def test_same_name():
     assert not products.same_name("camarbeci", "camrbeci", 9, 9) and not products.same_name("ab", "ac", 1, 1) and not products.same_name("gikunsubal", "togolbalba", 1, 1)
 
 
+def test_frequent_misspelling_of_a_hot_product(spark):
+    hot = [listing(n, "Gikunsubal 5 mg 14 tablets") for n in range(120)]
+    typos = [listing(200 + n, f"{w} 5 mg 14 tablets") for n, w in enumerate(["Gikunsubl"] * 6 + ["Gikunsubla"] * 5)]
+    other = [listing(300 + n, "Gikunsubol 5 mg 14 tablets") for n in range(40)]  # too frequent for a misspelling
+    got = {r.listing_id: r.product for r in products.groups(spark.createDataFrame([*hot, *typos, *other], SCHEMA)).collect()}
+    assert {got[i] for i, *_ in hot + typos} == {got[0]} and {got[i] for i, *_ in other} == {got[300]} != {got[0]}
+    # The same shares give the same answer at every size.
+    assert all(products.same_name("gikunsubal", "gikunsubl", 1000 * k, 5 * k) and not products.same_name("gikunsubal", "gikunsubol", 120 * k, 40 * k) for k in (1, 10, 1000))
+
+
 def test_components(spark):
     n = spark.range(8).selectExpr("id AS sig")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
