@@ -6,9 +6,12 @@ to intervals of the target size. The rewrite is one shuffle by group, and counts
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.json_records import records_column
 from .windows import prefix_sum
 
@@ -50,16 +53,35 @@ def rewrite(files: DataFrame, out: str, target: int = TARGET_BYTES) -> DataFrame
     The reconciliation (group_no, planned_records, written_records) is read back from what was written.
     """
     plan = plan_groups(files.select("file_id", "size_bytes"), target=target).select("file_id", "group_no")
-    keep = kept_records(files)
+    keep = cut_lineage(kept_records(files))  # read twice below
     rec = file_records(files, payload=True).join(keep, ["file_id", "rec_no"], "left_semi").join(plan, "file_id")
     n = max(1, (plan.agg(F.max("group_no")).first()[0] or 0) + 1)
     # One file a group: a group is in one partition, and groups that share one are written apart.
     rec.repartition(n, "group_no").sortWithinPartitions("group_no", "file_id", "rec_no").write.mode("overwrite").partitionBy("group_no").parquet(out)
-    back = files.sparkSession.read.parquet(out).groupBy("group_no").agg(F.count(F.lit(1)).alias("written_records"))
+    back = files.sparkSession.read.schema(rec.schema).parquet(out).groupBy("group_no").agg(F.count(F.lit(1)).alias("written_records"))
     planned = keep.join(plan, "file_id").groupBy("group_no").agg(F.count(F.lit(1)).alias("planned_records"))
     return planned.join(back, "group_no", "full").na.fill(0, ["planned_records", "written_records"])
 
 
+def consolidated(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
+    """(file_id, rec_no) of every record as it stands in the planned, rewritten and reconciled groups.
+
+    The groups are written to a folder of their own beside the checkpoints and dropped once their rows are read back; ``rewrite``
+    keeps them where it is told to. A group whose counts differ from the plan raises.
+    """
+    spark = files.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/groups-{uuid.uuid4().hex}"
+    try:
+        wrong = rewrite(files, out, target).filter("planned_records <> written_records").limit(5).collect()
+        if wrong:
+            raise RuntimeError(f"groups not written as planned: {wrong}")
+        return cut_lineage(spark.read.schema("file_id bigint, rec_no bigint").parquet(out).select("file_id", "rec_no"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def group_report(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(group_no, n_files, n_bytes, n_records): the plan's groups with the kept records of each."""
     plan = plan_groups(files.select("file_id", "size_bytes"), target=target)

@@ -36,7 +36,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.kept_records(read_table(spark, sf_dir, "landed_files"))
+    return compaction.consolidated(read_table(spark, sf_dir, "landed_files"))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

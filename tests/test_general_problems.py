@@ -201,6 +201,29 @@ def test_kept_records_and_rewrite(spark, tmp_path):
     assert rows(compaction.kept_records(df.limit(0))) == []
 
 
+def test_found_is_read_back_from_groups(spark, tmp_path, monkeypatch):
+    from marlstone.plans.problems import p7_found
+
+    data = [(n, "p", 30, f"{page(f'u{n}')}\n{page('same')}\n{page(None)}", 0) for n in range(1, 7)]
+    spark.createDataFrame(data, FILE).write.parquet(str(tmp_path / "landed_files.parquet"))
+    want = sorted([(n, r) for n in range(1, 7) for r in (1, 3)] + [(1, 2)])
+    real, groups = compaction.rewrite, []
+
+    def small(files, out, target=0):
+        report = real(files, out, target=40)
+        groups.extend(tuple(r) for r in report.collect())
+        return report
+
+    monkeypatch.setattr(compaction, "rewrite", small)
+    assert rows(p7_found(spark, str(tmp_path))) == want
+    assert len(groups) > 2 and all(p == w for _, p, w in groups) and sum(w for _, _, w in groups) == len(want)
+    monkeypatch.setattr(compaction, "rewrite", lambda *a: real(*a).withColumn("written_records", F.col("written_records") - 1))
+    with pytest.raises(RuntimeError):
+        p7_found(spark, str(tmp_path))
+    monkeypatch.undo()
+    assert rows(compaction.consolidated(spark.createDataFrame(data, FILE).limit(0))) == []
+
+
 def test_plan_groups(spark):
     df = spark.createDataFrame([(i, 10) for i in range(20)], "file_id bigint, size_bytes bigint")
     assert [r.n for r in compaction.plan_groups(df, target=50).groupBy("group_no").agg(F.count("*").alias("n")).orderBy("group_no").collect()] == [5] * 4
