@@ -7,6 +7,7 @@
    as many probes as a check against exact neighbours asks for. Cells are cut into blocks of bounded size.
 3. Neighbours that differ in form, strength or pack are vetoed; names must be within small edit distance, and two names that
    are both well attested stay apart, unless one is as rare beside the other as a misspelling is. What remains in both directions (mutual neighbours) is joined into groups.
+4. A signature that lacks attributes joins the only one of its name that contradicts none of the others.
 """
 
 from __future__ import annotations
@@ -200,6 +201,23 @@ def links(signatures: DataFrame, index: Index) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("ways")).filter("ways = 2").select("a", "b")
 
 
+def completions(signatures: DataFrame) -> DataFrame:
+    """(a, b): a signature with unknown attributes and the one it must belong to.
+
+    An unknown attribute contradicts nothing, so every fuller signature of the name that agrees in what is known is a reading of it. It
+    is linked if there is only one; between several strengths or packs nothing tells which is meant, and it stays by itself.
+    """
+    key = ["form", "strength", "pack"]
+    blanks = sum(((F.col(c) == "").cast("int") for c in key), F.lit(0))
+    t = signatures.select("sig", "name", *key, blanks.alias("blanks"))
+    part = t.filter("blanks > 0").select(F.col("sig").alias("a"), "name", *[F.col(c).alias(f"{c}_a") for c in key], F.col("blanks").alias("blanks_a"))
+    full = t.filter("blanks = 0").select(F.col("sig").alias("b"), "name", *key)
+    j = part.join(full, "name")
+    for c in key:
+        j = j.filter((F.col(f"{c}_a") == "") | (F.col(f"{c}_a") == F.col(c)))
+    return j.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_most")).filter("b = _most").select("a", "b")
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(sig, grp): connected components by least label; only misspelt signatures have edges, so few rounds do. Lineage is cut each round."""
     both = cut_lineage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))))
@@ -219,7 +237,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
 def groups(listings: DataFrame) -> DataFrame:
     """(listing_id, product): the product of each listing that states a name; rows with equal listing_id are one listing.
 
-    Listings without title and description state nothing, have product null and are in no group. Unknown attributes only equal unknown ones.
+    Listings without title and description state nothing, have product null and are in no group. Unknown attributes equal unknown ones, and
+    the known ones of the only signature that agrees otherwise (``completions``).
     """
     read = attributes(listings)
     rest = [c for c in read.columns if c != "listing_id"]
@@ -230,7 +249,7 @@ def groups(listings: DataFrame) -> DataFrame:
     sig = full.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("listing_id").alias("sig"))
     # How well a name is attested counts over all its forms and packs.
     sig = cut_lineage(sig.join(sig.groupBy("name").agg(F.sum("c").alias("n")), "name").select("sig", *key, "n"))
-    member = components(sig, links(sig, fit_index(sig)))
+    member = components(sig, links(sig, fit_index(sig)).unionByName(completions(sig)))
     return full.join(sig.select(*key, "sig"), key).join(member, "sig").select("listing_id", F.col("grp").alias("product"))
 
 

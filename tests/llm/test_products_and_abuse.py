@@ -89,6 +89,15 @@ def test_frequent_misspelling_of_a_hot_product(spark):
     assert all(products.same_name("gikunsubal", "gikunsubl", 1000 * k, 5 * k) and not products.same_name("gikunsubal", "gikunsubol", 120 * k, 40 * k) for k in (1, 10, 1000))
 
 
+def test_unknown_attributes_are_completed(spark):
+    data = [
+        listing(1, "Gikunsubal 5 mg 14 tablets"), listing(2, "Gikunsubal 5 mg tablets, a fortnight's worth"), listing(3, "Gikunsubal fourteen lozenges, 5 mg"), listing(4, "Gikunsubal 10 mg tablets"),
+        listing(5, "Togolbalba 5 mg 14 tablets"), listing(6, "Togolbalba 5 mg 28 tablets"), listing(7, "Togolbalba 5 mg tablets"), listing(8, "Togolbalba 28 tablets"),
+    ]
+    got = {tuple(r) for r in products.pairs(products.groups(spark.createDataFrame(data, SCHEMA))).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (6, 8)}  # 4 contradicts; 7 could be either pack
+
+
 def test_components(spark):
     n = spark.range(8).selectExpr("id AS sig")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
