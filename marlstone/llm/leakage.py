@@ -3,7 +3,9 @@
 Candidates come from an embedding of edit distance into Hamming distance: a random walk reads a window of words and
 writes, at each step, the word under its pointer, which a random bit of (step, word) moves on or not. Windows at a small edit
 distance write nearly the same, so bit-sampling (a few steps of the walk make a hash key) finds them, and repetitions with
-other walks raise the recall. Every pair found is verified exactly: the longest common subsequence of the item's and the
+other walks raise the recall. The walks need windows of mostly known words; passages in short pieces or with many foreign words
+come from an exact route beside them: every pair with so many shared word triples that its cover can reach the threshold. So the
+candidates hold all pairs that the verification accepts, whatever the walks miss. Every pair found is verified exactly: the longest common subsequence of the item's and the
 document's words, counted only near shared word triples, must hold half of the item's words.
 
 The items are the query set and are broadcast in blocks of bounded size; documents are read once a block and not shuffled.
@@ -99,6 +101,20 @@ class ItemIndex:
             self.keys.append(key[order])
             self.owners.append(owner[order])
         self.triples = {i: {tuple(w[n : n + 3]) for n in range(len(w) - 2)} for i, w in items}
+        codes = [np.unique(self.triple_codes(a)) for a in ids]
+        every, who = np.concatenate(codes), np.concatenate([np.full(len(c), n) for n, c in enumerate(codes)])
+        order = np.argsort(every, kind="stable")
+        self.codes, self.code_owners = every[order], who[order]
+        # A shared triple brings at most its words and NEAR on both sides into the verification.
+        self.least_triples = np.ceil(np.array([len(w) for _, w in items]) * MIN_COVER / (3 + 2 * NEAR)).astype(np.int64)
+
+    def triple_codes(self, words: np.ndarray) -> np.ndarray:
+        """A number for each three words in a row; 0 where one is unknown."""
+        if len(words) < 3:
+            return np.zeros(0, dtype=np.int64)
+        a, b, c = words[:-2], words[1:-1], words[2:]
+        size = len(self.vocabulary) + 1  # beyond 2 million words codes may meet, which only adds candidates
+        return np.where((a > 0) & (b > 0) & (c > 0), (a * size + b) * size + c, 0)
 
     def embed(self, windows: np.ndarray, walk: int) -> np.ndarray:
         """Key of each window: the sampled steps of the random walk over it."""
@@ -122,14 +138,33 @@ class ItemIndex:
         return key
 
     def candidates(self, docs: list[list[str]]) -> np.ndarray:
-        """(place of a document, place of an item, number of its windows that meet one of the item's)."""
+        """(place of a document, place of an item, number of its windows, or else of its triples, that meet one of the item's)."""
         get = self.vocabulary.get
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         total = int(lengths.sum())
-        if total < WINDOW:
-            return np.zeros((0, 3), dtype=np.int64)
+        none = np.zeros((0, 3), dtype=np.int64)
+        if total < 3:
+            return none
         flat = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.int64, count=total)
         doc = np.repeat(np.arange(len(docs)), lengths)
+        exact = self.exact_candidates(flat, doc)
+        walked = self.walked_candidates(flat, doc) if total >= WINDOW else none
+        both = np.concatenate([walked, exact])
+        _, first = np.unique(both[:, 0] * len(self.names) + both[:, 1], return_index=True)
+        return both[first]
+
+    def exact_candidates(self, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Every pair whose shared triples can bring half of the item's words into the verification."""
+        code = np.where(doc[:-2] == doc[2:], self.triple_codes(flat), 0)
+        at = np.flatnonzero(code)
+        lo, hi = np.searchsorted(self.codes, code[at], "left"), np.searchsorted(self.codes, code[at], "right")
+        n = hi - lo
+        place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        pair, hits = np.unique(np.repeat(doc[at], n) * len(self.names) + self.code_owners[place], return_counts=True)
+        return np.stack([pair // len(self.names), pair % len(self.names), hits], axis=1)[hits >= self.least_triples[pair % len(self.names)]]
+
+    def walked_candidates(self, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Pairs whose windows meet under the walks."""
         windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
         whole = doc[: len(windows)] == doc[WINDOW - 1 :]
         known = np.convolve(flat > 0, np.ones(WINDOW, dtype=np.int64), mode="valid") >= WINDOW - 2

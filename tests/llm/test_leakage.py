@@ -70,3 +70,37 @@ def test_recall_of_candidates():
     found = {(a, int(index.names[o])) for a, o, _ in index.candidates(docs).tolist()}
     true = [(n, i) for n, (i, _) in enumerate(items) if index.cover(i, docs[n]) >= L.MIN_COVER]
     assert len(true) > 20 and sum(t in found for t in true) / len(true) >= 0.95
+
+
+def test_foreign_words_and_short_pieces(spark):
+    r = random.Random(6)
+    items = make(30, 4)
+    index = L.ItemIndex([(i, L.words(L.split_item(t)[1])) for i, t in items])
+    foreign = ["parcel", "letter", "seal", "stamp", "quay"]
+    docs = []
+    for i, w in index.items.items():
+        docs.append((i, " ".join(r.choice(foreign) if n % 4 == 3 else x for n, x in enumerate(w))))  # every fourth word replaced
+        pieces = [w[n : n + 8] for n in range(0, len(w), 8)]
+        docs.append((100 + i, " ".join(" ".join(p) + " " + " ".join(r.choices(foreign, k=6)) for p in pieces)))
+        docs.append((200 + i, " ".join(w[:8]) + " " + " ".join(r.choices(foreign, k=60))))  # a short quote
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in L.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(k + i, i) for i, _ in items for k in (0, 100)}
+
+
+def test_candidates_hold_all_that_is_verified():
+    r = random.Random(7)
+    items = make(25, 5)
+    index = L.ItemIndex([(i, L.words(L.split_item(t)[1])) for i, t in items])
+    docs = []
+    for i, w in index.items.items():
+        for most in (3, 4, 5, 9):  # runs of the passage between foreign words
+            out, n = [], 0
+            while n < len(w):
+                k = r.randint(1, most)
+                out += [*w[n : n + k], *["parcel"] * r.randint(1, 4)]
+                n += k + r.randint(0, 1)
+            docs.append(out)
+    found = {(a, int(index.names[o])) for a, o, _ in index.candidates(docs).tolist()}
+    true = {(n, i) for n, d in enumerate(docs) for i in index.items if index.cover(i, d) >= L.MIN_COVER}
+    assert len(true) > 40 and true <= found
