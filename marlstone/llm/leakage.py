@@ -60,20 +60,21 @@ def split_item(text: str | None) -> tuple[str, str]:
 def passages(items: DataFrame) -> DataFrame:
     """(item_id, words): each item's passage without an opening line (a first sentence that several items share) and closing question.
 
-    Items whose passage has fewer than WINDOW words, null texts among them, have no row. Of rows with one item_id any counts.
+    Items without words, null texts among them, have no row; neither have those of fewer than WINDOW words that are nothing but an
+    opening line of others or a question. Of rows with one item_id any counts.
     """
 
-    @F.pandas_udf("struct<head:array<string>,rest:array<string>>")
+    @F.pandas_udf("struct<head:array<string>,rest:array<string>,question:boolean>")
     def parts(texts: pd.Series) -> pd.DataFrame:
         two = [split_item(t) for t in texts]
-        return pd.DataFrame({"head": [words(a) for a, _ in two], "rest": [words(b) for _, b in two]})
+        return pd.DataFrame({"head": [words(a) for a, _ in two], "rest": [words(b) for _, b in two], "question": [not b and a.rstrip().endswith("?") for a, b in two]})
 
     t = items.dropDuplicates(["item_id"]).select("item_id", parts(F.coalesce("text", F.lit(""))).alias("p"))
-    t = t.select("item_id", "p.head", "p.rest", F.array_join("p.head", " ").alias("line"))
-    shared = t.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OPENING_ITEMS).select("line", F.lit(True).alias("opening"))
+    t = t.select("item_id", "p.head", "p.rest", "p.question", F.array_join("p.head", " ").alias("line"))
+    shared = t.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("rest") > 0).alias("opens")).filter(F.col("n") >= OPENING_ITEMS).select("line", F.lit(True).alias("opening"), "opens")
     t = t.join(shared, "line", "left")
-    t = t.select("item_id", F.when(F.col("opening") & (F.size("rest") > 0), F.col("rest")).otherwise(F.concat("head", "rest")).alias("words"))
-    return t.filter(F.size("words") >= WINDOW)
+    t = t.select("item_id", F.when(F.col("opening") & (F.size("rest") > 0), F.col("rest")).otherwise(F.concat("head", "rest")).alias("words"), (F.col("question") | (F.coalesce("opens", F.lit(False)) & (F.size("rest") == 0))).alias("bare"))
+    return t.filter((F.size("words") >= WINDOW) | ((F.size("words") > 0) & ~F.col("bare"))).select("item_id", "words")
 
 
 class ItemIndex:
@@ -90,8 +91,9 @@ class ItemIndex:
         ids = []
         for i, w in items:
             ids.append(np.array([self.vocabulary[x] for x in w], dtype=np.int64))
-        owner = np.concatenate([np.full(len(a) - WINDOW + 1, n) for n, a in enumerate(ids)])
-        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(a, WINDOW) for a in ids])
+        # Items of fewer than WINDOW words have no window and come from the exact route only.
+        owner = np.concatenate([np.full(max(0, len(a) - WINDOW + 1), n) for n, a in enumerate(ids)])
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(a, WINDOW) if len(a) >= WINDOW else np.zeros((0, WINDOW), dtype=np.int64) for a in ids])
         self.keys, self.owners = [], []
         self.names = np.array([i for i, _ in items])
         self.least = np.maximum(MIN_HITS, np.array([len(w) for _, w in items]) // WORDS_A_HIT)
@@ -100,21 +102,28 @@ class ItemIndex:
             order = np.argsort(key, kind="stable")
             self.keys.append(key[order])
             self.owners.append(owner[order])
-        self.triples = {i: {tuple(w[n : n + 3]) for n in range(len(w) - 2)} for i, w in items}
-        codes = [np.unique(self.triple_codes(a)) for a in ids]
-        every, who = np.concatenate(codes), np.concatenate([np.full(len(c), n) for n, c in enumerate(codes)])
-        order = np.argsort(every, kind="stable")
-        self.codes, self.code_owners = every[order], who[order]
+        # Items of one or two words are met by all of their words.
+        self.triples = {i: {tuple(w[n : n + 3]) for n in range(max(1, len(w) - 2))} for i, w in items}
+        self.codes, self.code_owners = {}, {}
+        for k in (1, 2, 3):
+            own = [(n, np.unique(self.gram_codes(a, k))) for n, a in enumerate(ids) if min(len(a), 3) == k]
+            every = np.concatenate([np.zeros(0, dtype=np.int64), *[c for _, c in own]])
+            who = np.concatenate([np.zeros(0, dtype=np.int64), *[np.full(len(c), n) for n, c in own]])
+            order = np.argsort(every, kind="stable")
+            self.codes[k], self.code_owners[k] = every[order], who[order]
         # A shared triple brings at most its words and NEAR on both sides into the verification.
         self.least_triples = np.ceil(np.array([len(w) for _, w in items]) * MIN_COVER / (3 + 2 * NEAR)).astype(np.int64)
 
-    def triple_codes(self, words: np.ndarray) -> np.ndarray:
-        """A number for each three words in a row; 0 where one is unknown."""
-        if len(words) < 3:
+    def gram_codes(self, words: np.ndarray, k: int) -> np.ndarray:
+        """A number for each k words in a row; 0 where one is unknown."""
+        if len(words) < k:
             return np.zeros(0, dtype=np.int64)
-        a, b, c = words[:-2], words[1:-1], words[2:]
         size = len(self.vocabulary) + 1  # beyond 2 million words codes may meet, which only adds candidates
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * size + b) * size + c, 0)
+        code, known = np.zeros(len(words) - k + 1, dtype=np.int64), True
+        for n in range(k):
+            w = words[n : len(words) - k + 1 + n]
+            code, known = code * size + w, known & (w > 0)
+        return np.where(known, code, 0)
 
     def embed(self, windows: np.ndarray, walk: int) -> np.ndarray:
         """Key of each window: the sampled steps of the random walk over it."""
@@ -143,7 +152,7 @@ class ItemIndex:
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         total = int(lengths.sum())
         none = np.zeros((0, 3), dtype=np.int64)
-        if total < 3:
+        if not total:
             return none
         flat = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.int64, count=total)
         doc = np.repeat(np.arange(len(docs)), lengths)
@@ -154,13 +163,18 @@ class ItemIndex:
         return both[first]
 
     def exact_candidates(self, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Every pair whose shared triples can bring half of the item's words into the verification."""
-        code = np.where(doc[:-2] == doc[2:], self.triple_codes(flat), 0)
-        at = np.flatnonzero(code)
-        lo, hi = np.searchsorted(self.codes, code[at], "left"), np.searchsorted(self.codes, code[at], "right")
-        n = hi - lo
-        place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        pair, hits = np.unique(np.repeat(doc[at], n) * len(self.names) + self.code_owners[place], return_counts=True)
+        """Every pair whose shared triples (all words of items of one or two) can bring half of the item's words into the verification."""
+        met = [np.zeros(0, dtype=np.int64)]
+        for k in (1, 2, 3):
+            if not len(self.codes[k]) or len(flat) < k:
+                continue
+            code = np.where(doc[: len(doc) - k + 1] == doc[k - 1 :], self.gram_codes(flat, k), 0)
+            at = np.flatnonzero(code)
+            lo, hi = np.searchsorted(self.codes[k], code[at], "left"), np.searchsorted(self.codes[k], code[at], "right")
+            n = hi - lo
+            place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            met.append(np.repeat(doc[at], n) * len(self.names) + self.code_owners[k][place])
+        pair, hits = np.unique(np.concatenate(met), return_counts=True)
         return np.stack([pair // len(self.names), pair % len(self.names), hits], axis=1)[hits >= self.least_triples[pair % len(self.names)]]
 
     def walked_candidates(self, flat: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -191,10 +205,11 @@ class ItemIndex:
         mine = self.items[item]
         triples = self.triples[item]
         near = np.zeros(len(doc) + 1, dtype=np.int64)
-        for n in range(len(doc) - 2):
-            if (doc[n], doc[n + 1], doc[n + 2]) in triples:
+        k = min(3, len(mine))
+        for n in range(len(doc) - k + 1):
+            if tuple(doc[n : n + k]) in triples:
                 near[max(0, n - NEAR)] += 1
-                near[min(len(doc), n + 3 + NEAR)] -= 1
+                near[min(len(doc), n + k + NEAR)] -= 1
         keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
         if len(keep) < len(mine) * MIN_COVER:
             return 0.0

@@ -104,3 +104,19 @@ def test_candidates_hold_all_that_is_verified():
     found = {(a, int(index.names[o])) for a, o, _ in index.candidates(docs).tolist()}
     true = {(n, i) for n, d in enumerate(docs) for i in index.items if index.cover(i, d) >= L.MIN_COVER}
     assert len(true) > 40 and true <= found
+
+
+def test_short_items(spark):
+    items = [
+        (1, "Read the passage. Kaban lodor mifel negim puhun rajas sokel. And then?"), (2, "Read the passage. Tilop vumar."), (3, "Read the passage. What is meant?"), (4, "What is a kaban?"),
+        (5, "Xenix"), (6, "Read the passage."), (7, None), (8, "Read the passage. " + " ".join(WORDS[:40]) + "."),
+    ]
+    docs = [
+        (1, "so: KABAN, lodor mifel <b>negim</b> puhun rajas sokel it is"), (2, "kaban lodor mifel only"), (3, "kaban lodor parcel mifel negim puhun"), (4, "they tilop vumar here"), (5, "tilop and vumar"),
+        (6, "Read the passage. What is meant? What is a kaban?"), (7, "xenix"), (8, None), (9, ""),
+    ]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in L.find_leaks(df, it).collect()} == {(1, 1), (3, 1), (4, 2), (7, 5)}
+    assert {r.item_id for r in L.passages(it).collect()} == {1, 2, 5, 8}
+    # Nothing but short items.
+    assert {(x.doc_id, x.item_id) for x in L.find_leaks(df, it.filter("item_id < 3")).collect()} >= {(1, 1), (3, 1)}
