@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,21 +34,30 @@ ATTESTED = 4  # listings that make a name well attested
 MISSPELT = 0.1  # share of a name's listings up to which another spelling, however often it occurs, can be a misspelling of it
 MAX_CELLS = 2048
 
-_FIELDS = "listing_id bigint, words array<string>, name string, substance string, generic string, form string, strength string, pack string"
+_FIELDS = "listing_id bigint, words array<string>, name string, substance string, generic string, form string, strength string, pack string, offer string"
 
 
 def attributes(listings: DataFrame) -> DataFrame:
-    """One row of canonical attributes for each listing; null fields state nothing."""
+    """One row of canonical attributes for each listing; null fields state nothing.
+
+    ``offer`` is a digest of seller and texts of a listing that states no name, else ''; without title and description it is '' too.
+    """
+
+    def offer(row: A.Listing, *texts: str | None) -> str:
+        if row.words or row.name or not any((t or "").strip() for t in texts[1:3]):
+            return ""
+        return hashlib.blake2b(repr([t or "" for t in texts]).encode(), digest_size=16).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [A.read(t, d, s) for t, d, s in zip(b["listing_title"], b["description"], b["dosage"])]
             out = pd.DataFrame(rows, columns=A.Listing._fields)
             out["words"] = out["words"].map(list)
+            out["offer"] = [offer(r, m, t, d, s) for r, m, t, d, s in zip(rows, b["market_name"], b["listing_title"], b["description"], b["dosage"])]
             out.insert(0, "listing_id", b["listing_id"].to_numpy())
             yield out
 
-    return listings.select("listing_id", "listing_title", "description", "dosage").mapInPandas(run, _FIELDS)
+    return listings.select("listing_id", "market_name", "listing_title", "description", "dosage").mapInPandas(run, _FIELDS)
 
 
 def substances(attrs: DataFrame) -> DataFrame:
@@ -235,22 +245,26 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
 
 
 def groups(listings: DataFrame) -> DataFrame:
-    """(listing_id, product): the product of each listing that states a name; rows with equal listing_id are one listing.
+    """(listing_id, product): one row for each listing; rows with equal listing_id are one listing.
 
-    Listings without title and description state nothing, have product null and are in no group. Unknown attributes equal unknown ones, and
+    Listings without title and description state nothing, have product null and are in no group. Others that state no name are
+    grouped with copies of the same offer (seller, title, description and dosage) only. Unknown attributes equal unknown ones, and
     the known ones of the only signature that agrees otherwise (``completions``).
     """
     read = attributes(listings)
     rest = [c for c in read.columns if c != "listing_id"]
     # Attributes are shuffled, not texts; of differing rows with one id the least counts.
-    one = cut_lineage(read.groupBy("listing_id").agg(F.min(F.struct(*rest)).alias("a")).select("listing_id", "a.*"))  # read three times below
+    one = cut_lineage(read.groupBy("listing_id").agg(F.min(F.struct(*rest)).alias("a")).select("listing_id", "a.*"))  # read several times below
     full = cut_lineage(named(one))
     key = ["name", "form", "strength", "pack"]
     sig = full.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("listing_id").alias("sig"))
     # How well a name is attested counts over all its forms and packs.
     sig = cut_lineage(sig.join(sig.groupBy("name").agg(F.sum("c").alias("n")), "name").select("sig", *key, "n"))
     member = components(sig, links(sig, fit_index(sig)).unionByName(completions(sig)))
-    return full.join(sig.select(*key, "sig"), key).join(member, "sig").select("listing_id", F.col("grp").alias("product"))
+    stated = full.join(sig.select(*key, "sig"), key).join(member, "sig").select("listing_id", F.col("grp").alias("product"))
+    nameless = one.join(full.select("listing_id"), "listing_id", "left_anti").select("listing_id", "offer")
+    copies = nameless.filter("offer <> ''").groupBy("offer").agg(F.min("listing_id").alias("product"))
+    return stated.unionByName(nameless.join(copies, "offer", "left").select("listing_id", "product"))
 
 
 def pairs(grouped: DataFrame) -> DataFrame:

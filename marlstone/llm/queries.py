@@ -31,7 +31,7 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.groups(read_spread(spark, sf_dir, "parsed_merged", "listing_id", "listing_title", "description", "dosage"))
+    return products.groups(read_spread(spark, sf_dir, "parsed_merged", "listing_id", "market_name", "listing_title", "description", "dosage"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,16 @@ def test_unknown_attributes_are_completed(spark):
     assert got == {(1, 2), (1, 3), (2, 3), (6, 8)}  # 4 contradicts; 7 could be either pack
 
 
+def test_nameless_listings_keep_a_row(spark):
+    data = [listing(1, "Gikunsubal 5 mg 14 tablets"), listing(2, None, None), listing(3, " ", ""), listing(4, "5 mg 14 tablets"), listing(5, "5 mg 14 tablets"), listing(6, "best price tablets"), listing(7, "", "", "5 mg"), listing(8, "Gikunsubal 5 mg 14 tablets")]
+    data += [(9, "another", *data[3][2:]), data[1]]
+    g = products.groups(spark.createDataFrame(data, SCHEMA)).cache()
+    got = {r.listing_id: r.product for r in g.collect()}
+    assert g.count() == 9 and {i for i, p in got.items() if p is None} == {2, 3, 7}
+    # Copies of one seller's offer are a pair, the same words of another seller aren't.
+    assert {tuple(r) for r in products.pairs(g).collect()} == {(1, 8), (4, 5)}
+
+
 def test_components(spark):
     n = spark.range(8).selectExpr("id AS sig")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
