@@ -94,6 +94,13 @@ def file_order(records: DataFrame) -> DataFrame:
     return o
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from the left side."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def lifespans(records: DataFrame) -> DataFrame:
     """Starts and ends of each field's islands: (collector, feed, field, ord, session_file, edge, types, kinds, prev_types).
 
@@ -102,7 +109,7 @@ def lifespans(records: DataFrame) -> DataFrame:
     The order is cut into buckets of 4096 files, whose last row is also the next bucket's first, so lag sees all neighbours.
     """
     order = file_order(records)
-    cat = catalogue(records).join(order, ["collector", "feed", "session_file"])
+    cat = _same(catalogue(records), order, ["collector", "feed", "session_file"])
     b = F.floor(F.col("ord") / BUCKET)
     # A ghost copy stands in the neighbouring bucket, for lag and lead alike.
     homes = F.when(F.col("ord") % BUCKET == BUCKET - 1, F.array(b, b + 1)).when((F.col("ord") % BUCKET == 0) & (F.col("ord") > 0), F.array(b, b - 1)).otherwise(F.array(b))
@@ -122,7 +129,7 @@ def lifespans(records: DataFrame) -> DataFrame:
     )
     t = t.select("collector", "feed", "field", "types", "kinds", "prev_types", F.explode(edges).alias("_e"))
     t = t.select("collector", "feed", "field", "types", "kinds", "prev_types", F.col("_e.edge").alias("edge"), F.col("_e.at").alias("ord"))
-    return t.join(order, ["collector", "feed", "ord"])  # an end past the last file finds none
+    return _same(t, order, ["collector", "feed", "ord"])  # an end past the last file finds none
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -130,7 +137,8 @@ def changes(records: DataFrame) -> DataFrame:
 
     An end and a start at one file are one rename if both names mean the same field (equal but for case, blanks and
     signs, or by the alias table) and the values agree in type and kind (all-null values agree with any); or if, of names
-    of which at least one isn't in the alias table, they are the file's only pair of one specific kind and type.
+    of which at least one isn't in the alias table, they are the file's only pair of one specific kind and type. Null collectors,
+    feeds and files are values of their own; a null file stands first in its producer's order.
     """
     spark = records.sparkSession
     alias = F.broadcast(alias_table(spark))  # fixed, about 60 rows
@@ -140,7 +148,7 @@ def changes(records: DataFrame) -> DataFrame:
     k = ["collector", "feed", "session_file"]
     gone = e.filter("edge = 'end'").select(*k, F.col("field").alias("f0"), F.col("types").alias("t0"), F.col("kinds").alias("k0"), F.col("meaning").alias("m0"), F.col("canonical").alias("c0"))
     come = e.filter("edge = 'start'").select(*k, F.col("field").alias("f1"), F.col("types").alias("t1"), F.col("kinds").alias("k1"), F.col("meaning").alias("m1"), F.col("canonical").alias("c1"))
-    pair = gone.join(come, k)  # a file's own starts and ends: as many as it has fields, whatever the corpus
+    pair = _same(gone, come, k)  # a file's own starts and ends: as many as it has fields, whatever the corpus
     fits = ((F.col("t0") == F.col("t1")) | (F.col("t0") == 0) | (F.col("t1") == 0)) & ((F.col("k0").bitwiseAND(F.col("k1")) != 0) | (F.col("k0") == 0) | (F.col("k1") == 0))
     named = F.col("m0") == F.col("m1")
     specific = (F.col("k0") == F.col("k1")) & (F.col("t0") == F.col("t1")) & F.col("k0").isin(1, 2, 4, 8, 16, 32) & (F.col("c0").isNull() | F.col("c1").isNull())
@@ -153,8 +161,8 @@ def changes(records: DataFrame) -> DataFrame:
     wm = Window.partitionBy(*k, "m0", "_rank")
     pair = pair.withColumn("_i", F.dense_rank().over(wm.orderBy("f0"))).withColumn("_j", F.dense_rank().over(wm.orderBy("f1"))).filter("_i = _j")
     renamed = pair.select(*k, F.col("f0").alias("field"), F.col("f1").alias("new_field"))
-    added = e.filter("edge = 'start'").select(*k, "field").join(renamed.select(*k, F.col("new_field").alias("field")), [*k, "field"], "left_anti")
-    removed = e.filter("edge = 'end'").select(*k, "field").join(renamed.select(*k, "field"), [*k, "field"], "left_anti")
+    added = _same(e.filter("edge = 'start'").select(*k, "field"), renamed.select(*k, F.col("new_field").alias("field")), [*k, "field"], "left_anti")
+    removed = _same(e.filter("edge = 'end'").select(*k, "field"), renamed.select(*k, "field"), [*k, "field"], "left_anti")
     retyped = e.filter("edge = 'type'").select(*k, "field")
     out = lambda d, c: d.select(*k, "field", F.lit("").alias("new_field"), F.lit(c).alias("change"))
     return renamed.select(*k, "field", "new_field", F.lit("renamed").alias("change")).unionByName(out(added, "added")).unionByName(out(removed, "removed")).unionByName(out(retyped, "retyped"))

@@ -62,6 +62,20 @@ def test_drift_changes(spark):
     ])
 
 
+def test_drift_null_keys(spark):
+    u = "http://x.example.org/a"
+    plain = files([{"a": 1, "url": u}], [{"b": "x", "URL": u}], [{"b": 2, "URL": u}])
+    want = changes(spark, plain)
+    assert len(want) == 4  # a removed, b added, url renamed, b retyped
+    for null in (1, 2):  # collector, feed
+        data = [(*r[:null], None, *r[null + 1 :]) for r in plain]
+        assert changes(spark, data) == want
+    both = changes(spark, [*plain, *[(*r[:1], None, *r[2:]) for r in plain]])
+    assert both == sorted(want * 2)
+    first = [(*r[:3], None, *r[4:]) if n == 0 else r for n, r in enumerate(plain)]
+    assert changes(spark, first) == want
+
+
 def test_drift_unreadable_and_empty(spark):
     assert changes(spark, []) == []
     data = files([{"a": 1}], ["not json", None, "[1]", ""], [{"a": 1}])
