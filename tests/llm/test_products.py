@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from marlstone.llm import abuse, boosting, products
+from marlstone.llm import products
 from marlstone.llm import listing_attributes as A
 from marlstone.llm import title_encoder as E
 
@@ -112,64 +112,3 @@ def test_components(spark):
     n = spark.range(8).selectExpr("id AS sig")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
     assert sorted((r.sig, r.grp) for r in products.components(n, e).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 5), (6, 5), (7, 7)]
-
-
-# ---- 10 ---------------------------------------------------------------------------------------------------------
-
-
-def test_boosting_learns_and_calibrates():
-    r = np.random.default_rng(1)
-    x = r.normal(size=(3000, 5))
-    p = 1 / (1 + np.exp(-3 * ((x[:, 0] > 0) * (x[:, 1] > 0) * 2 - 1)))
-    y = (r.random(3000) < p).astype(float)
-    t = boosting.fit(x[:2000], y[:2000], np.ones(2000))
-    assert ((t.margin(x[2000:]) > 0) == (p[2000:] > 0.5)).mean() > 0.97
-    c = boosting.isotonic(t.margin(x[:2000]), y[:2000], np.ones(2000))
-    s = c(t.margin(x[2000:]))
-    assert abs(s[p[2000:] > 0.5].mean() - 0.953) < 0.05 and (np.diff(c.y) >= 0).all()
-    one = boosting.fit(np.zeros((5, 2)), np.zeros(5), np.ones(5))
-    assert one.margin(np.zeros((1, 2)))[0] < -3
-
-
-def test_isotonic_against_brute_force():
-    r = np.random.default_rng(2)
-    for _ in range(20):
-        m, y = np.sort(r.normal(size=12)), r.integers(0, 2, 12).astype(float)
-        c = boosting.isotonic(m, y, np.ones(12))
-        fit = c(m)
-        want = [max(min(y[i : j + 1].mean() for j in range(k, 12)) for i in range(k + 1)) for k in range(12)]
-        assert np.allclose(fit, want)
-
-
-def test_disguises():
-    f = dict(zip(abuse.FEATURES, abuse.features(["you 1d10t, m o r o n, b*****d, asssshole"])[0]))
-    assert f["disguised"] >= 3 and f["insult_most"] >= 3
-    assert (abuse.features([None, "", "   "]) == 0).all()
-    assert abuse.features(["word " * 100000]).shape == (1, len(abuse.FEATURES))
-
-
-LABELLED = [("You are a worthless idiot, I will break your teeth.", "abuse"), ("Foreigners are vermin, lock them all up.", "hate"), ("She moaned naked as he thrust his cock inside.", "sexual"), ("The parcel arrived on Monday and the box was fine.", "none"), ("The clinic hands out condoms and advice.", "none"), ("The tape was crap, but the strips are fine.", "none")]
-
-
-def test_scores_and_rates(spark):
-    docs = spark.createDataFrame([(n, t, "s", "x") for n, (t, _) in enumerate(LABELLED * 8)] + [(900, None, "s", "x"), (901, "", None, "x"), (902, "fine " * 50000, "t", "x"), (902, "fine", "t", "x")], "doc_id bigint, text string, source string, label string")
-    labels = spark.createDataFrame([(n, "a", lab) for n, (_, lab) in enumerate(LABELLED * 8)] + [(3, "b", None), (None, "b", "abuse"), (12345, "b", "hate")], "doc_id bigint, annotator string, label string")
-    model = abuse.fit(docs, labels)
-    scores = abuse.score(docs, model).cache()
-    got = {(r.doc_id, r.label) for r in abuse.found(scores).collect()}
-    assert got == {(n, lab) for n, (_, lab) in enumerate(LABELLED * 8) if lab != "none"}
-    assert all(r.abuse == r.hate == r.sexual == 0 for r in scores.filter("doc_id in (900, 901)").collect())
-    rates = {r.source: r for r in abuse.rates(scores).collect()}
-    assert rates["s"].docs == 49 and abs(rates["s"].abuse - 8 / 49) < 1e-5 and rates[None].docs == 1
-    assert abuse.fit(docs.limit(0), labels.limit(0)) is not None and abuse.found(abuse.score(docs.limit(0), model)).count() == 0
-
-
-def test_held_out_accuracy():
-    """Documents of sentences that training doesn't hold."""
-    seed = [(t, k) for k, ts in abuse.SEED.items() for t in ts]
-    x = abuse.features([t for t, _ in seed])
-    y = np.array([[float(k == lab) for lab in abuse.LABELS] for _, k in seed])
-    m = abuse.Model(np.concatenate([x] * 6), np.concatenate([y] * 6), np.ones(6 * len(x)))
-    texts, want = zip(*LABELLED)
-    s = m.scores(abuse.features(list(texts)))
-    assert [abuse.LABELS[k.argmax()] if k.max() >= abuse.CUT else "none" for k in s] == list(want)
