@@ -2,92 +2,160 @@
 
 Void elements never open, an end tag pops to the nearest open match, no end tag is implied. Selectors: tag, .class, #id,
 [attr], [attr=v], [attr*=v], compounds of these, descendants, comma groups. Matches come in document order.
+
+Elements are indexed by tag, class, id and attribute while the page is read, so that a selector looks at the few elements
+that its last part can mean; texts lie in one list, of which an element is a slice.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset(("script", "style", "template"))
+_WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-
-    def walk(self) -> Iterator[Node]:
-        """Elements below, in document order; without recursion, since pages can be deep."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-    def text(self, sep: str = " ") -> str:
-        out, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif n.tag not in NO_TEXT:
-                todo.extend(reversed(n.children))
-        return re.sub(r"\s+", " ", sep.join(out)).strip()
+    __slots__ = ("tag", "attrs", "parent", "tree", "order", "last", "text_from", "text_to", "n_children", "only")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, tree: _Tree):
+        self.tag, self.attrs, self.parent, self.tree = tag, attrs, parent, tree
+        self.order = self.last = len(tree.nodes)  # place in document order; that of the last element inside
+        self.text_from = self.text_to = len(tree.texts)
+        self.n_children, self.only = 0, None  # children of both kinds; the only one, if there is one
+
+    def strings(self) -> list[str]:
+        """The texts inside, without those of scripts, styles and templates."""
+        t = self.tree
+        return [s for s, seen in zip(t.texts[self.text_from : self.text_to], t.seen[self.text_from : self.text_to]) if seen]
+
+    def raw_text(self) -> str:
+        """The texts inside, put together as they stand."""
+        return "".join(self.strings())
+
+    def raw_text_lines(self) -> str:
+        """The texts inside as they stand, a line each."""
+        return "\n".join(self.strings())
+
+    def text(self) -> str:
+        """``raw_text`` with runs of white space as one blank, trimmed."""
+        return _WHITE.sub(" ", self.raw_text()).strip()
+
+    def spaced_text(self, sep: str = " ") -> str:
+        """Trimmed texts with ``sep`` between."""
+        return sep.join(s for s in (x.strip() for x in self.strings()) if s)
+
+    def holds_one_text(self) -> bool:
+        """Whether there is nothing inside but one text, however many elements are around it."""
+        n = self
+        while n.n_children == 1 and isinstance(n.only, Node):
+            n = n.only
+        return n.n_children == 1
 
     def get(self, name: str, default: str = "") -> str:
         return self.attrs.get(name, default)
 
     def select(self, selector: str) -> list[Node]:
         groups = _compile(selector)
-        return [n for n in self.walk() if any(_matches(n, g) for g in groups)]
+        if len(groups) == 1:
+            return self.tree.matches(self, groups[0])
+        found = {n.order: n for g in groups for n in self.tree.matches(self, g)}
+        return [found[k] for k in sorted(found)]
 
     def first(self, *selectors: str) -> Node | None:
         """The first match of the first selector that has one."""
         for s in selectors:
-            groups = _compile(s)
-            for n in self.walk():
-                if any(_matches(n, g) for g in groups):
-                    return n
+            got = self.select(s)
+            if got:
+                return got[0]
         return None
 
 
-class _Builder(HTMLParser):
+class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.nodes: list[Node] = []
+        self.texts: list[str] = []
+        self.seen: list[bool] = []
+        self.by: dict[tuple[str, str], list[Node]] = {}
+        self.hidden = 0
+        self.root = self.at = Node("", {}, None, self)
+        self.nodes.append(self.root)
+
+    def _add(self, tag: str, attrs: list) -> Node:
+        up = self.at
+        n = Node(tag, {k: v or "" for k, v in reversed(attrs)} if attrs else {}, up, self)
+        up.n_children += 1
+        up.only = n
+        self.nodes.append(n)
+        self.by.setdefault(("tag", tag), []).append(n)
+        for k, v in n.attrs.items():
+            self.by.setdefault(("has", k), []).append(n)
+            if k == "class":
+                for c in set(v.split()):
+                    self.by.setdefault(("class", c), []).append(n)
+            elif k == "id":
+                self.by.setdefault(("id", v), []).append(n)
+        return n
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        n = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(n)
+        n = self._add(tag, attrs)
         if tag not in VOID:
             self.at = n
+            self.hidden += tag in NO_TEXT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at))
+        self._add(tag, attrs)
+
+    def _close(self, n: Node) -> None:
+        n.last, n.text_to = len(self.nodes) - 1, len(self.texts)
+        self.hidden -= n.tag in NO_TEXT
 
     def handle_endtag(self, tag: str) -> None:
         n = self.at
         while n.parent is not None and n.tag != tag:
             n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if n.parent is None:
+            return
+        while self.at is not n:
+            self._close(self.at)
+            self.at = self.at.parent
+        self._close(n)
+        self.at = n.parent
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.at.n_children += 1
+        self.at.only = data
+        self.texts.append(data)
+        self.seen.append(not self.hidden)
+
+    def finish(self) -> Node:
+        while self.at is not None:
+            self._close(self.at)
+            self.at = self.at.parent
+        return self.root
+
+    def matches(self, top: Node, steps: tuple) -> list[Node]:
+        """Elements inside ``top`` that fit the last step, and whose ancestors fit the others."""
+        tests = steps[-1]
+        pools = [self.by.get((k, v), ()) if k != "=" and k != "*=" else self.by.get(("has", v), ()) for k, v, _ in tests]
+        pool = min(pools, key=len) if pools else self.nodes[1:]
+        if top.parent is not None and pool:
+            lo = bisect_left(pool, top.order + 1, key=lambda n: n.order)
+            pool = pool[lo : bisect_left(pool, top.last + 1, lo, key=lambda n: n.order)]
+        return [n for n in pool if (len(tests) == 1 and tests[0][0] not in ("=", "*=") or _fits(n, tests)) and (len(steps) == 1 or _inside(n, steps))]
 
 
 def parse(html: str | None) -> Node:
     """The tree of a page; an empty one for null."""
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+    t = _Tree()
+    t.feed(html or "")
+    t.close()
+    return t.finish()
 
 
 _PART = re.compile(r"""([a-zA-Z][\w-]*|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w:-]+)\s*(?:(\*?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+)))?\s*\]""")
@@ -125,7 +193,7 @@ def _fits(n: Node, tests: tuple) -> bool:
         elif kind == "has":
             ok = name in n.attrs
         elif kind == "=":
-            ok = n.get(name) == value or name == "class" and value in n.get("class").split()
+            ok = n.attrs.get(name) == value
         else:
             ok = value in n.get(name)
         if not ok:
@@ -133,9 +201,7 @@ def _fits(n: Node, tests: tuple) -> bool:
     return True
 
 
-def _matches(n: Node, steps: tuple) -> bool:
-    if not _fits(n, steps[-1]):
-        return False
+def _inside(n: Node, steps: tuple) -> bool:
     up, k = n.parent, len(steps) - 2
     while k >= 0 and up is not None:
         if _fits(up, steps[k]):

@@ -50,9 +50,10 @@ def segments(url: Column) -> Column:
 
 
 def param_pairs(url: Column) -> Column:
-    """Array of struct(k, v); parameters without a value do not count."""
+    """Array of struct(k, v), percent-decoded with '+' as a blank; parameters without a value do not count; what can't be decoded stays as it is."""
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
     kv = F.transform(F.split(query(url), "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v")))
-    return F.filter(kv, lambda x: (x.k != "") & (x.v != ""))
+    return F.transform(F.filter(kv, lambda x: (x.k != "") & (x.v != "")), lambda x: F.struct(plain(x.k).alias("k"), plain(x.v).alias("v")))
 
 
 def param_values(url: Column, name: str) -> Column:
@@ -102,8 +103,11 @@ def fill_page(template: Column, n: Column) -> Column:
 
 
 def encode_term(term: Column) -> Column:
-    """Percent-encoding with %20 for blanks and '/' kept."""
-    return F.replace(F.replace(F.url_encode(term), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """Percent-encoding with %20 for blanks; '/' and '~' are kept."""
+    t = F.url_encode(term)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
 
 
 def is_product_url(url: Column) -> Column:

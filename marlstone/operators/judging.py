@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,3 +33,18 @@ def judged(listings: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     c = cache.groupBy("cache_key").agg(F.min("reply").alias("reply"))
     t = k.join(c, "cache_key", "left").withColumn("_v", F.when(F.col("reply").isNotNull(), verdict(json_lenient(F.col("reply")))))
     return t.select(*listings.columns, "cache_key", *[F.col(f"_v.{f}").alias(f"llm_{f}") for f in ("relevant", "category", "product_type", "confidence", "reason")])
+
+
+def rule_judge(terms: Sequence[tuple[str, str]]) -> Judge:
+    """A judge without a network, for tests and dry runs: (category, term) pairs in order of preference, looked for in the prompt whatever the case.
+
+    The first that occurs makes the listing relevant under its category; without one it isn't.
+    """
+
+    def judge(prompt: str) -> str:
+        low = prompt.lower()
+        hit = next(((c, t) for c, t in terms if t.lower() in low), None)
+        found = {"relevant": True, "category": hit[0], "product_type": hit[1], "confidence": 0.9, "reason": "names a term"} if hit else {"relevant": False, "category": "none", "product_type": "", "confidence": 0.5, "reason": "names no term"}
+        return json.dumps(found)
+
+    return judge

@@ -25,10 +25,27 @@ def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str], folded: Seq
     return w.join(d, [f"_{c}" for c in keys], "left_anti").select(*wanted.columns)
 
 
-def grid(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-    """Every row of ``left`` with every value of a small dimension's column, by exploding its array instead of a cross join."""
-    values = right.select(column).distinct().groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_set(column)).alias("_v"))
-    return left.withColumn("_one", F.lit(1)).join(values, "_one").withColumn(column, F.explode("_v")).drop("_one", "_v")
+def grid(left: DataFrame, right: DataFrame, column: str, most: int = 10_000) -> DataFrame:
+    """Every row of ``left`` with every value of a small dimension's column, which becomes one literal array.
+
+    A dimension of more than ``most`` distinct values is refused: the result is asked for by its definition, but not by the gigabyte.
+    """
+    values = [r[0] for r in right.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} values of {column}; use the grid in parts")
+    kind = right.schema[column].dataType
+    return left.withColumn(column, F.explode(F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")))
+
+
+def union_existing(spark, paths: Sequence[str], schema: str) -> DataFrame:
+    """All rows of the Parquet tables that are there, by name; columns that a table lacks are null; tables that are missing are skipped."""
+    from ..sources.storage import exists
+
+    out = spark.createDataFrame([], schema)
+    for p in paths:
+        if exists(spark, p):
+            out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    return out.select(*[f.name for f in spark.createDataFrame([], schema).schema])
 
 
 def with_cache(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import dedupe, extraction, page_flags, relational, tagging
-from ..session import read_spread, read_table
+from ..operators import dedupe, details, discovery, extraction, judging, page_flags, relational, search, tagging
+from ..session import cut_lineage, ensure_checkpoint_dir, read_spread, read_table
+from ..sources import csv_tables, sinks, storage
+from ..sources.json_array import JsonArraySource
 from ..sources.json_records import records_column
 
 QUERIES: dict = {}
@@ -128,7 +133,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH t AS (SELECT row_id, unnest(string_split({_QUERY.format(u=_TRIM.format(u="product_url"))}, '&')) AS p FROM products_html WHERE product_url IS NOT NULL)
-SELECT row_id, string_split(p, '=')[1] AS k, substr(p, strpos(p, '=') + 1) AS v FROM t WHERE p LIKE '_%=_%'""")
+SELECT row_id, url_decode(replace(string_split(p, '=')[1], '+', ' ')) AS k, url_decode(replace(substr(p, strpos(p, '=') + 1), '+', ' ')) AS v FROM t WHERE p LIKE '_%=_%'""")
 def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _pages(spark, sf_dir).select("row_id", F.explode(U.param_pairs(F.col("product_url"))).alias("p"))
     return t.select("row_id", "p.k", "p.v")
@@ -209,19 +214,26 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("row_id", n("h").alias("n_links"), n(F.array_distinct("h")).alias("n_distinct"), n(F.filter("h", lambda x: F.contains(x, F.lit("/item/")))).alias("n_items"))
 
 
-def _like(phrases: list[str]) -> str:
-    return "(" + " OR ".join("contains(lower(coalesce(html, '')), '" + p.replace("'", "''") + "')" for p in phrases) + ")"
+_H = "lower(coalesce(html, ''))"
+_TEXT = r"""trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<!--.*?-->', '<x>', 'g'), '\s*(?:<[^>]*>\s*)+', ' ', 'g'))"""
 
 
-@_query(rf"""SELECT row_id, length(coalesce(html, '')) < 4000 AND {_like(page_flags.WALL_HINTS)} AS walled,
-  length(coalesce(html, '')) < 400 AND regexp_matches(coalesce(html, ''), '(?i)http-equiv=["'']?refresh[^>]*url=["'']?/["''\s>]') AS bounce,
-  {_like(page_flags.CAPTCHA_PHRASES)} AS captcha, {_like(page_flags.DDOS_PHRASES)} AS ddos,
-  (length(coalesce(html, '')) < 4000 AND {_like(page_flags.WALL_HINTS)}) OR (len(regexp_extract_all(coalesce(html, ''), '(?i)<a[\s>]')) <= 2 AND {_like(page_flags.QUEUE_PHRASES)}) AS gated,
-  length(coalesce(html, '')) >= 1000 AND NOT {_like(page_flags.CAPTCHA_PHRASES)} AS usable FROM products_html""")
+@_query(rf"""WITH p AS (SELECT row_id, coalesce(html, '') AS h, {_H} AS low, lower({_TEXT}) AS txt, len(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?\bhref\s*=')) AS n_links FROM products_html),
+w AS (SELECT *, length(h) < 4000 AND (low LIKE '%captcha%' OR low LIKE '%cloudflare%' OR low LIKE '%ddos%' OR low LIKE '%are you human%' OR low LIKE '%not a bot%' OR low LIKE '%i''m not a robot%') AS walled,
+  low LIKE '%captcha%' OR low LIKE '%verify you are human%' OR low LIKE '%cloudflare%' OR low LIKE '%ddos-guard%' OR low LIKE '%are you human%' AS captcha FROM p)
+SELECT row_id, walled, captcha, length(h) < 400 AND regexp_matches(h, '(?i)http-equiv=["'']?refresh["'']?[^>]*url=/?["'']?\s*/?\s*["'']?') AS bounce,
+  low LIKE '%ddos protection%' OR low LIKE '%new tor identity%' OR low LIKE '%kill switch%' AS identity_block,
+  walled OR (h <> '' AND n_links <= 2 AND (txt LIKE '%access queue%' OR txt LIKE '%you have been placed in a queue%' OR txt LIKE '%estimated wait%' OR txt LIKE '%please wait%' OR txt LIKE '%just a moment%' OR txt LIKE '%one moment%'
+    OR txt LIKE '%redirected%' OR txt LIKE '%ddos%' OR txt LIKE '%captcha%' OR txt LIKE '%cloudflare%' OR txt LIKE '%enable javascript%')) AS gated,
+  length(h) < 500 OR (low LIKE '%<title%' AND (string_split(low, '</title>')[1] LIKE '%captcha%' OR string_split(low, '</title>')[1] LIKE '%ddos%' OR string_split(low, '</title>')[1] LIKE '%just a moment%' OR string_split(low, '</title>')[1] LIKE '%checking your browser%')) AS forum_block,
+  length(h) >= 1000 AND NOT captcha AS usable, length(h) >= 1000 AND NOT captcha AND low LIKE '%class=%' AS usable_with_marker FROM w""")
 def page_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, status = F.col("html"), F.lit(200)
     f = page_flags
-    return _pages(spark, sf_dir).select("row_id", f.walled(status, h).alias("walled"), f.bounce(h).alias("bounce"), f.captcha(h).alias("captcha"), f.ddos_block(h).alias("ddos"), f.gated(status, h).alias("gated"), f.usable_results(h).alias("usable"))
+    return _pages(spark, sf_dir).select(
+        "row_id", f.walled(status, h).alias("walled"), f.bounce(h).alias("bounce"), f.captcha(h).alias("captcha"), f.identity_block(h).alias("identity_block"), f.gated(status, h).alias("gated"), f.forum_block(h).alias("forum_block"),
+        f.usable_results(h).alias("usable"), f.usable_results(h, F.lit("CLASS=")).alias("usable_with_marker"),
+    )
 
 
 @_query()
@@ -236,7 +248,7 @@ def parse_listing_second_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def nested_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.details(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
+    return details.details(read_spread(spark, sf_dir, "products_html", "row_id", "html"))
 
 
 @_query()
@@ -251,7 +263,8 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("row_id", F.explode(extraction.links_column(F.col("html"), F.col("product_url"))).alias("l")).select("row_id", "l.href", "l.text")
 
 
-@_query("""SELECT DISTINCT category_page FROM products_html WHERE category_page IS NOT NULL AND (""" + " OR ".join(f"contains(lower(category_page), '{p}')" for p in page_flags.RELEVANT_PARTS) + ")")
+@_query(r"""SELECT DISTINCT category_page FROM products_html WHERE regexp_matches(lower(category_page),
+  'pharmacy|pharma|prescription|rx|health|pill|medicine|medication|drug|hormone|fertility|women|contracept|abortion|birth control|sexual|steroid')""")
 def relevant_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).filter(page_flags.relevant(F.col("category_page"), F.lit(""))).filter("category_page is not null").select("category_page").distinct()
 
@@ -444,3 +457,121 @@ def salvaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete records of each landed file, whatever its layout."""
     t = read_table(spark, sf_dir, "landed_files").filter("content is not null")
     return t.select("file_id", F.size(records_column(F.col("content"), ["product_url"])).cast("bigint").alias("n_records"))
+
+
+class _Folder:
+    """A folder of its own in the shared folder, gone when the rows that are read back from it are kept elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.path = spark, f"{spark.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        try:
+            return cut_lineage(df)
+        finally:
+            storage.delete(self.spark, self.path)
+
+
+@_query("SELECT unit, quantity, CAST(factor AS VARCHAR) AS factor FROM unit_factors")
+def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as one JSON array and back."""
+    f = _Folder(spark)
+    sinks.write_json_array(read_table(spark, sf_dir, "unit_factors").withColumn("factor", F.col("factor").cast("string")), f"{f.path}/units.json")
+    spark.dataSource.register(JsonArraySource)
+    return f.kept(spark.read.format("json_array").schema("unit string, quantity string, factor string").load(f"{f.path}/units.json"))
+
+
+@_query("""SELECT coalesce(market_name, '') AS market_name, coalesce(listing_title, '') AS listing_title, coalesce(price, '') AS price, CAST(listing_id AS VARCHAR) AS listing_id FROM parsed_merged""")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes, commas and line breaks as CSV and back; known columns first."""
+    f = _Folder(spark)
+    sinks.write_csv(read_table(spark, sf_dir, "parsed_merged").select("listing_id", "price", "listing_title", "market_name"), f"{f.path}/csv")
+    t = f.kept(csv_tables.read_csv(spark, f"{f.path}/csv"))
+    return t.select([F.coalesce(F.col(c), F.lit("")).alias(c) for c in t.columns])
+
+
+@_query("SELECT DISTINCT category, term FROM term_dictionary")
+def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary as a JSON object of lists and back."""
+    f = _Folder(spark)
+    rows = read_table(spark, sf_dir, "term_dictionary").groupBy("category").agg(F.sort_array(F.collect_set("term")).alias("terms")).collect()  # the dictionary is a small dimension
+    storage.write_text(spark, f"{f.path}/terms.json", [json.dumps({r.category: list(r.terms) for r in rows})])
+    return f.kept(csv_tables.read_terms(spark, f"{f.path}/terms.json"))
+
+
+@_query("SELECT DISTINCT source AS site, lang AS term FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def progress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint of sites and what was done on them, written and read."""
+    f = _Folder(spark)
+    done = read_table(spark, sf_dir, "documents").filter("source is not null and lang is not null").select(F.col("source").alias("site"), F.col("lang").alias("term"))
+    sinks.write_progress(done, f"{f.path}/progress.json")
+    return f.kept(csv_tables.read_progress(spark, f"{f.path}/progress.json", "none"))
+
+
+@_query("SELECT DISTINCT original_url AS url FROM parsed_merged WHERE original_url IS NOT NULL UNION SELECT DISTINCT product_url FROM documents WHERE product_url IS NOT NULL")
+def append_only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of two tables appended one after the other, each once."""
+    f = _Folder(spark)
+    for table, column in (("parsed_merged", "original_url"), ("documents", "product_url"), ("parsed_merged", "original_url")):
+        sinks.append_new(read_table(spark, sf_dir, table).select(F.col(column).alias("url")).filter("url is not null"), f"{f.path}/urls", "url")
+    return f.kept(csv_tables.read_existing(spark, f"{f.path}/urls", "url string"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY term, category) - 1 AS ord, term AS url FROM term_dictionary")
+def seed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _Folder(spark)
+    rows = read_table(spark, sf_dir, "term_dictionary").orderBy("term", "category").collect()  # a small dimension
+    storage.write_text(spark, f"{f.path}/seeds.json", [json.dumps([r.term for r in rows])])
+    return f.kept(discovery.read_seed_urls(spark, f"{f.path}/seeds.json"))
+
+
+@_query("SELECT unit, quantity, NULL::VARCHAR AS category, NULL::VARCHAR AS term FROM unit_factors UNION ALL SELECT NULL, NULL, category, term FROM term_dictionary")
+def union_of_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables and one that isn't there."""
+    return relational.union_existing(spark, [f"{sf_dir}/{t}.parquet" for t in ("unit_factors", "missing", "term_dictionary")], "unit string, quantity string, category string, term string")
+
+
+@_query("SELECT annotator, count(*) AS n FROM doc_labels WHERE label = 'none' GROUP BY annotator")
+def approved_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_table(spark, sf_dir, "doc_labels").withColumn("ok", F.when(F.col("label") == "none", True).when(F.col("label") == "hate", False))
+    return relational.approved(t, "ok").groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT market, count(*) AS n FROM products_html WHERE coalesce(html, '') <> '' GROUP BY market")
+def pages_with_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).filter(F.coalesce("html", F.lit("")) != "").groupBy("market").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""SELECT row_id FROM products_html WHERE '/' || trim({_PATH.format(u="category_page")}, '/') IN (SELECT '/' || trim({_PATH.format(u="category_page")}, '/') FROM parsed_merged WHERE category_page IS NOT NULL)""")
+def allowed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose category stands on a path that parsed listings name."""
+    return discovery.on_allowed_paths(_pages(spark, sf_dir).select("row_id", "category_page"), "category_page", read_table(spark, sf_dir, "parsed_merged").select(F.col("category_page").alias("path")).filter("path is not null")).select("row_id")
+
+
+@_query(r"""WITH s(key, first, later) AS (VALUES
+  ('heading', 'http://heading.example.org/?search_terms={t}&search=simple', 'http://heading.example.org/?search_terms={t}&search=simple&page=2'), ('shop', 'http://shop.example.org/?s={t}&post_type=product', 'http://shop.example.org/page/2/?s={t}&post_type=product'),
+  ('plain', 'http://plain.example.org/?s={t}', 'http://plain.example.org/page/2/?s={t}'), ('title', 'http://title.example.org/search?title={t}&source=&destination', 'http://title.example.org/search?title={t}&source=&destination&page=2'),
+  ('query', 'http://query.example.org/search?query={t}', 'http://query.example.org/search?query={t}&page=2'), ('q', 'http://q.example.org/search?q={t}', 'http://q.example.org/search?q={t}&page=2'), ('results', 'http://results.example.org/results?q={t}', 'http://results.example.org/results?q={t}&page=2'),
+  ('items', 'http://items.example.org/items.php?q={t}', 'http://items.example.org/items.php?q={t}&page=2'), ('forum', 'http://forum.example.org/search/?q={t}&sub=DNMSourcing', 'http://forum.example.org/search/?q={t}&sub=DNMSourcing&page=2'),
+  ('advanced', 'http://advanced.example.org/search?adv=on&s_terms={t}&s_sellername=&s_order=0&s_tocountryid=0&s_countryid=0&s_category=All&s_lphysical=0&s_minprice=0.00&s_maxprice=99999.99&s_crypto=0&s_fulfill=2&s_multisig=0&s_bulk=2&s_stock=1&s_payment=0',
+   'http://advanced.example.org/search?adv=on&s_terms={t}&s_sellername=&s_order=0&s_tocountryid=0&s_countryid=0&s_category=All&s_lphysical=0&s_minprice=0.00&s_maxprice=99999.99&s_crypto=0&s_fulfill=2&s_multisig=0&s_bulk=2&s_stock=1&s_payment=0&page=2')),
+t AS (SELECT DISTINCT term, replace(replace(url_encode(term), '+', '%20'), '%2F', '/') AS e FROM term_dictionary)
+SELECT key, term, p AS page, replace(CASE WHEN p = 1 THEN first ELSE later END, '{t}', e) AS url FROM s, t, (SELECT unnest([1, 2]) AS p)""")
+def site_search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second results page of every term on every site of the registry."""
+    sites = search.registry(spark)
+    terms = relational.grid(sites.select("key"), read_table(spark, sf_dir, "term_dictionary"), "term").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
+    return search.search_pages(sites, terms)
+
+
+@_query("""WITH j AS (SELECT listing_id, lower('Listing to judge:' || chr(10) || 'title: ' || coalesce(listing_title, '') || chr(10) || 'market: ' || coalesce(market_name, '') || chr(10) || 'description: ' ||
+    CASE WHEN length(coalesce(description, '')) > 800 THEN substr(description, 1, 800) || '...' ELSE coalesce(description, '') END) AS prompt FROM parsed_merged),
+h AS (SELECT listing_id, min({'category': category, 'term': term}) AS m FROM j JOIN term_dictionary ON contains(prompt, lower(term)) GROUP BY listing_id)
+SELECT listing_id, m IS NOT NULL AS relevant, CASE WHEN m.category IN ('abortion', 'contraception') THEN m.category ELSE 'none' END AS category, coalesce(m.term, '') AS product_type, CASE WHEN m IS NULL THEN 0.5 ELSE 0.9 END AS confidence FROM j LEFT JOIN h USING (listing_id)""")
+def judged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing judged through an empty cache by the rule judge, each wording once."""
+    t = read_table(spark, sf_dir, "parsed_merged").select("listing_id", "listing_title", "market_name", "description")
+    terms = [(r.category, r.term) for r in read_table(spark, sf_dir, "term_dictionary").distinct().orderBy("category", "term").collect()]  # a small dimension
+    replies = cut_lineage(judging.judge_pending(t, spark.createDataFrame([], "cache_key string, reply string"), "rules", judging.rule_judge(terms)))
+    return judging.judged(t, replies, "rules").select("listing_id", F.col("llm_relevant").alias("relevant"), F.col("llm_category").alias("category"), F.trim("llm_product_type").alias("product_type"), F.col("llm_confidence").alias("confidence"))

@@ -25,9 +25,12 @@ def build_session(app: str = "marlstone", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: spark.checkpoint.dir where it is set, else a local one (tests only)."""
+    """The shared checkpoint folder that spark.checkpoint.dir names. Where it is unset, a session on this machine gets a folder of
+    its own; on a cluster a machine's own folder would lose what a lost executor wrote, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = os.path.join(tempfile.gettempdir(), "marlstone-checkpoint")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

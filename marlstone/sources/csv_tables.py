@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .storage import exists, first_line
+
 
 def unique_names(names: list[str]) -> list[str]:
     """The second x becomes x__2, the third x__3."""
@@ -22,8 +23,8 @@ def unique_names(names: list[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as text columns under unique names; short rows are null at the end, surplus cells go; an empty file has no columns."""
-    with open(path, newline="", encoding="utf-8-sig") as f:
-        header = next(csv.reader(f), None)
+    line = first_line(spark, path)  # a header of several lines isn't read
+    header = next(csv.reader([line])) if line else None
     if not header:
         return spark.createDataFrame([], StructType([]))
     schema = StructType([StructField(n, StringType()) for n in unique_names(header)])
@@ -39,7 +40,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 def read_progress(spark: SparkSession, path: str, site: str) -> DataFrame:
     """(site, term) of a checkpoint file; its flat old form belongs to ``site``; a missing or unreadable file has no rows."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "site string, term string")
     j = F.from_json("value", "markets map<string,array<string>>, completed_terms array<string>")
     t = spark.read.text(path, wholetext=True).select(j.alias("j")).filter("j is not null")
@@ -50,4 +51,4 @@ def read_progress(spark: SparkSession, path: str, site: str) -> DataFrame:
 
 def read_existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, empty under the schema if it isn't there yet."""
-    return spark.read.schema(schema).parquet(path) if os.path.exists(path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -1,8 +1,9 @@
 """A Spark data source for files that hold one JSON array (or objects one after another), element by element.
 
 Spark's own reader turns a whole file into one corrupt row when one element is foreign or the tail is cut off. This source
-yields every complete object. Options: path (file, folder or glob), salvage (true: what comes before a break is kept; false: a
-broken file is an error), legacy (a file that is read last).
+yields every complete object, and reads files in pieces. Options: path (file, folder or pattern), salvage (true: what comes before
+and after a break is kept; lenient: a missing file has no rows either; false: a broken file, or one that holds no array, is an error), legacy (a
+file that is read last).
 
     spark.dataSource.register(JsonArraySource)
     spark.read.format("json_array").schema("product_url string, fetched_at bigint").load("/landed/*.json")
@@ -10,7 +11,6 @@ broken file is an error), legacy (a file that is read last).
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 from collections.abc import Iterator
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DoubleType, IntegralType, StructType
 
-from .json_records import complete_objects
+from .json_records import streamed_objects
+from .storage import chunks, listed
 
 
 class FilePartition(InputPartition):
@@ -52,23 +53,29 @@ class JsonArrayReader(DataSourceReader):
 
     def partitions(self) -> list[FilePartition]:
         path = self.options.get("path", "")
-        found = sorted(glob.glob(os.path.join(path, "*.json")) if os.path.isdir(path) else glob.glob(path))
-        if not found:
+        found = listed(path)
+        if not found and self._salvage() != "lenient":
             raise FileNotFoundError(f"no file matches {path}")
         legacy = self.options.get("legacy")
-        if legacy and os.path.exists(legacy):
-            found = [p for p in found if p != legacy] + [legacy]
+        if legacy and (last := listed(legacy)):
+            found = [p for p in found if p not in last] + last
         return [FilePartition(p, n) for n, p in enumerate(found)]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8-sig", errors="replace") as f:
-            text = f.read()
-        if self.options.get("salvage", "true").lower() != "true":
-            top = json.loads(text)
+    def _salvage(self) -> str:
+        return self.options.get("salvage", "true").lower()
+
+    def read(self, partition: FilePartition | None) -> Iterator[tuple]:
+        if partition is None:  # a source without files is asked once
+            return
+        if self._salvage() == "false":
+            top = json.loads("".join(chunks(partition.path)))  # all or nothing
             if not isinstance(top, list):
                 raise ValueError(f"{partition.path} holds no array")
+            records: Iterator[dict] = (d for d in top if isinstance(d, dict))
+        else:
+            records = streamed_objects(chunks(partition.path))
         given = {"file_name": os.path.basename(partition.path), "file_ord": partition.ordinal}
-        for pos, d in enumerate(complete_objects(text)):
+        for pos, d in enumerate(records):
             row = d | given | {"pos": pos}
             yield tuple(_value(row.get(f.name), f.dataType) for f in self.schema.fields)
 

@@ -47,6 +47,40 @@ def complete_objects(text: str | None) -> Iterator[dict]:
             yield value
 
 
+MOST_CHARS = 1 << 26  # of one record; what is longer counts as broken
+
+
+def streamed_objects(pieces: Iterator[str]) -> Iterator[dict]:
+    """``complete_objects`` of a text that comes in pieces: no more than a piece and a record are held at once."""
+    pieces = iter(pieces)
+    buffer, i, ended, inside = "", 0, False, False  # inside: something stood before, so that '[' begins an element
+    while True:
+        while i < len(buffer) and buffer[i] in _SKIP and not (buffer[i] == "[" and inside):
+            inside = inside or buffer[i] == "["
+            i += 1
+        if i < len(buffer):
+            try:
+                value, end = _DECODER.raw_decode(buffer, i)
+                if ended or buffer[end:].lstrip("+-.eE0123456789"):  # a number at the end of a piece may go on
+                    inside, i = True, end
+                    if isinstance(value, dict):
+                        yield value
+                    continue
+            except (ValueError, RecursionError):
+                if ended or len(buffer) - i > MOST_CHARS:
+                    if buffer[i] == "[":  # no whole element, so its parts are looked at
+                        i += 1
+                        continue
+                    at = min((p for p in (buffer.find("\n{", i), buffer.find("\n[", i)) if p >= 0), default=-1)
+                    i = len(buffer) if at < 0 else at + 1
+                    continue
+        if ended:
+            return
+        piece = next(pieces, None)
+        ended = piece is None
+        buffer, i = buffer[i:] + (piece or ""), 0
+
+
 def _plain(v: object) -> str | None:
     """A value as text: strings as they are, null as null, whole numbers without a point, others as JSON."""
     if v is None or isinstance(v, str):

@@ -38,6 +38,15 @@ def test_product_url_shapes(spark):
     assert apply(spark, U.is_product_url, [u for u, _ in PRODUCT]) == [x for _, x in PRODUCT]
 
 
+def test_parameters_are_decoded(spark):
+    got = apply(spark, U.param_pairs, ["http://h/?a=x%20y&b=1+2&c=&=z&d=%C3%A9&e=50%&f%5B%5D=1", None])
+    assert [(x.k, x.v) for x in got[0]] == [("a", "x y"), ("b", "1 2"), ("d", "é"), ("e", "50%"), ("f[]", "1")]
+    from urllib.parse import quote
+
+    terms = ["a b/c", "é~*.-_", "x&y=1?", "100%"]
+    assert apply(spark, U.encode_term, terms) == [quote(t) for t in terms]
+
+
 def test_paging(spark):
     got = apply(spark, U.page_template, ["http://h/x?page=2", "http://h/x?a=1&paged=3&z", "http://h/x?p=4", "http://h/page/5/", "http://h/page2", None])
     assert [tuple(g) if g else None for g in got] == [("http://h/x?page={n}", 2), ("http://h/x?a=1&paged={n}&z", 3), ("http://h/x?p={n}", 4), ("http://h/page/{n}/", 5), None, None]
@@ -84,7 +93,8 @@ def test_resolved_category(spark):
 
 def test_dom_selectors():
     root = parse('<div class="a b" id=x><p>one<br>two</p><p class=c>three<ul><li><a href="/q?x=1">L</a></ul></div><script>no</script><p>last')
-    assert [n.text() for n in root.select("div p")] == ["one two", "three L"]
+    assert [n.text() for n in root.select("div p")] == ["onetwo", "threeL"] and [n.spaced_text() for n in root.select("div p")] == ["one two", "three L"]
+    assert [n.holds_one_text() for n in parse("<p><b>x</b></p><p>x<i>y</i></p><p></p>").select("p")] == [True, False, False]
     assert root.first("#x .c a[href*=x]").get("href") == "/q?x=1"
     assert [n.tag for n in root.select("li a, p.c")] == ["p", "a"]
     assert root.text().endswith("last") and "no" not in root.text().split()
@@ -97,6 +107,24 @@ def test_dom_never_fails(html):
     parse(html).select("p .b, a[href]")
 
 
+def plain_select(root, selector):
+    """Every element against the selector's last steps, without the index."""
+    from marlstone.functions import dom
+
+    groups = dom._compile(selector)
+    return [n for n in root.tree.nodes[1:] if any(dom._fits(n, g[-1]) and dom._inside(n, g) for g in groups)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a b'>", "</div>", "<a href=x>", "</a>", "<b class=ab>", "<br>", "<li id=i>", "t", "<p class=a>", "</b>"]), max_size=40))
+def test_dom_index_agrees_with_plain_matching(parts):
+    root = parse("".join(parts))
+    for s in ("p", ".a", "div p", "div.a .b p", "[class*=a]", "[class=a]", "#i a[href]", "p, a", "div b[class]", "*"):
+        assert [n.order for n in root.select(s)] == [n.order for n in plain_select(root, s)]
+    for n in root.select("div"):
+        assert [x.order for x in n.select("p")] == [x.order for x in plain_select(root, "p") if n.order < x.order <= n.last]
+
+
 @pytest.mark.parametrize("depth", [20000])
 def test_dom_deep_pages(depth):
     assert parse("<div>" * depth + "x").text() == "x"

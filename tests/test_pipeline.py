@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import extraction, judging, relational, tagging
-from marlstone.sources import csv_tables, sinks
+from marlstone.operators import details, discovery, extraction, judging, relational, search, tagging
+from marlstone.sources import csv_tables, sinks, storage
+from marlstone.sources.json_records import complete_objects, streamed_objects
 from marlstone.sources.json_array import JsonArraySource
 from marlstone.streaming import latest
 
@@ -81,27 +82,45 @@ LISTING = """<html><head><title>Fine pill – River Box</title></head><body><h1
 
 def test_read_listing():
     r = extraction.read_listing(LISTING)
-    assert (r["market_name"], r["listing_title"], r["price"], r["rating"], r["number_in_stocks"], r["ship_from"], r["ship_to"]) == ("River Box", "Fine pill 5 mg", "$10 - $9.50", "4/5", "1200", "EU", "US")
-    assert r["dosage"].startswith("5 mg") and r["review"] == "A review of more than twenty characters. " * 1 + "A review of more than twenty characters." and r["description"].startswith("A description")
+    assert (r["market_name"], r["listing_title"], r["price"], r["rating"], r["number_in_stocks"], r["ship_from"]) == ("River Box", "Fine pill 5 mg", "$10 - $9.50", "4", "1200", "")
+    assert r["dosage"] == "5 mg" and r["review"] == "A review of more than twenty characters. | A review of more than twenty characters." and r["description"].startswith("A description")
     assert all(v == "" for v in extraction.read_listing("").values()) and all(v == "" for v in extraction.read_listing(None).values())
-    assert extraction.read_listing(LISTING, extraction.SECOND)["dosage"] == ""
+    second = extraction.read_listing(LISTING, extraction.SECOND)
+    assert (second["dosage"], second["ship_from"], second["ship_to"]) == ("", "EU", "US")
     assert extraction.read_listing("<p class=description>" + "x" * 501)["description"] == "x" * 500 + "..."
 
 
 def test_links():
     html = '<ul class="products"><li class="product"><a href="/product/a">A</a></li></ul><a href="/cart">c</a><nav><a href="?page=2">2</a><a href="http://other/">o</a></nav>'
     assert extraction.product_links(html, "http://h/c/") == ["http://h/product/a"]
-    assert extraction.product_links('<a href="/item/1#x">1</a><a href="/category/item/2">2</a>', "http://h/") == ["http://h/item/1"]
-    assert extraction.pager_links(html, "http://h/c/") == ["http://h/c/?page=2"]
-    assert extraction.hosts_in('<a href="http://abc.example.org/">Name</a> see xyz.example.net', r"[a-z]+\.example\.(?:org|net)") == {"abc.example.org": "Name", "xyz.example.net": ""}
+    assert extraction.pager_links(html, "http://h/c/") == ["http://h/c/?page=2", "http://other/"] and extraction.page_urls(html, "http://h/c/") == ["http://h/c/", "http://h/c/?page=2"]
     assert extraction.page_links("<a href='http://[bad'>x</a>", "http://h") == []
+    assert extraction.category_links(None, "http://h/") == [] and extraction.forum_links("", "") == [] and extraction.hinted_links(None, "", 3) == []
+    assert details.next_pages('<a href="/page/2">2</a><a href="/x">x</a>', "http://h/") == ["http://h/page/2"] and details.content_text(None) == ""
 
 
-def test_category_and_forum_links():
-    html = '<a href="/c/pills">Pills</a><a href="/cart">Cart</a><a href="/">Home</a><a href="http://o/c/x">o</a><a href="/item/5">i</a><a href="/a/b/c">deep</a><a href="/shop-by/a/b/c#x">D</a><div class="post-title"><a href="/post/1#r">P</a></div><h2><a>Tiny</a></h2><h2><a>ab</a></h2>'
-    assert extraction.category_links(html, "http://h/") == [("http://h/c/pills", "Pills"), ("http://h/shop-by/a/b/c", "D"), ("http://h/post/1", "P")]
-    assert extraction.forum_links(html, "http://h/x") == ["http://h/post/1"] and extraction.sample_titles(html) == ["Tiny"]
-    assert extraction.category_links(None, "http://h/") == [] and extraction.forum_links("", "") == []
+def test_every_category_word_and_hint():
+    for w in extraction.NO_CATEGORY:
+        assert extraction.category_links(f'<a href="/a/{w.upper()}">x</a>', "http://h/") == []
+    for h in extraction.CATEGORY_HINTS:
+        assert extraction.hinted_links(f'<a href="/{h}/1">x</a>', "http://h/", 5) == [f"http://h/{h}/1"]
+    for m in extraction.NO_PRODUCT_MARKS:
+        assert extraction.product_links(f'<a href="/item/1/x{m}">x</a>', "http://h/") == []
+    assert len(set(extraction.NO_CATEGORY)) == len(extraction.NO_CATEGORY)
+
+
+def test_site_selection(spark):
+    sites = search.registry(spark)
+    assert search.selected(sites, "all").count() == 9 and [r.key for r in search.selected(sites, "forum", "forum").collect()] == ["forum"]
+    assert sorted(r.key for r in search.selected(sites, " shop, q ").collect()) == ["q", "shop"]
+    with pytest.raises(ValueError, match="zzz"):
+        search.selected(sites, "shop, zzz")
+
+
+def test_promotion_names_unknown_hosts(spark):
+    hosts = spark.createDataFrame([("http://A.org/",), ("b.org",)], "host string")
+    assert [r.host for r in discovery.unknown_hosts(hosts, spark.createDataFrame([("a.org",)], "host string")).collect()] == ["b.org"]
+    assert discovery.run_folder("/x/out/", "20260101_000000") == "/x/out_20260101_000000"
 
 
 def test_site_scores(spark):
@@ -113,7 +132,7 @@ def test_site_scores(spark):
 def test_parse_listings_frame(spark):
     df = spark.createDataFrame([(1, "http://h/item/x", "c", LISTING, "z"), (2, "http://h/item/y", "c", "", "z"), (3, "http://h/about", "c", LISTING, "z"), (4, None, None, None, None)], "row_id bigint, product_url string, category_page string, html string, price string")
     assert [(r.row_id, r.listing_title) for r in extraction.parse_listings(df).collect()] == [(1, "Fine pill 5 mg")]
-    assert extraction.details(df).count() == 2 and extraction.parse_listings(df.limit(0)).count() == 0
+    assert details.details(df).count() == 2 and extraction.parse_listings(df.limit(0)).count() == 0
 
 
 def test_json_array_source(spark, tmp_path):
@@ -124,10 +143,37 @@ def test_json_array_source(spark, tmp_path):
     s = "product_url string, fetched_at bigint, file_ord bigint, pos bigint"
     got = rows(spark.read.format("json_array").schema(s).option("legacy", str(tmp_path / "c.json")).load(str(tmp_path)))
     assert got == [("old", None, 2, 0), ("u1", 5, 0, 0), ("u2", None, 0, 1), ("u3", None, 1, 0)]
+    assert spark.read.format("json_array").schema(s).option("salvage", "lenient").load(str(tmp_path / "none*.json")).count() == 0
+    for salvage, ok in (("false", False), ("true", True)):
+        t = spark.read.format("json_array").schema(s).option("salvage", salvage).load(str(tmp_path / "b.json"))
+        if ok:
+            assert t.count() == 1
+        else:
+            with pytest.raises(Exception):
+                t.count()
     with pytest.raises(Exception, match="no file"):
         spark.read.format("json_array").schema(s).load(str(tmp_path / "none*.json")).count()
 
 
+def test_streamed_objects_agree_with_whole_texts():
+    texts = [
+        '[{"a": 1}, 7, null, {"b": "x]{"}, [{"c": 2}], "s"]', '{"a": 1}\n{"b": 2}\n', '[{"a": 1}, {"b": ', '[{"a": 1}, {"b" 2}\n{"c": 3}\n[{"d": 4}]', "", "  ", "[]", '{"a": {"b": [1, 2]}}', "12", '[[{"x": 1}], {"y": "é"}]', 'garbage\n{"z": 1}', '[1.5, {"q": 1}',
+    ]
+    for t in texts:
+        for size in (1, 2, 3, 7, 1000):
+            assert list(streamed_objects(t[k : k + size] for k in range(0, len(t), size))) == list(complete_objects(t)), (t, size)
+
+
+def test_storage(spark, tmp_path):
+    p = str(tmp_path / "deep" / "x.json")
+    storage.write_text(spark, p, ["a", "é"])
+    storage.write_text(spark, p, ["b"])
+    assert storage.exists(spark, p) and storage.read_text(spark, p) == "b" and not storage.exists(spark, p + "x")
+    assert storage.listed(str(tmp_path / "deep")) == [p] == storage.listed(str(tmp_path / "deep" / "*.json")) and storage.listed(str(tmp_path / "no")) == []
+    (tmp_path / "b.txt").write_bytes("\ufeffaé".encode() * 3 + b"\xff")
+    assert "".join(storage.chunks(str(tmp_path / "b.txt"), 2)).startswith("aé")
+
+
 def test_csv_and_sinks(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text('a,b,b,b\n1,2,3,4\n5\n"q, ""r""",2,3,4,9\n')
@@ -173,3 +219,8 @@ def test_stream_keeps_latest(spark, tmp_path):
     make((3, "a", "9"), (4, "b", "1"), (5, None, "1")).coalesce(1).write.mode("append").parquet(src)
     latest.follow(spark, src, table, str(tmp_path / "c")).awaitTermination()
     assert sorted(r.row_id for r in latest.current(spark, table).collect()) == [2, 3, 5]
+    # A repeated batch changes nothing, and versions that no longer count are gone.
+    again = make((3, "a", "9"), (4, "b", "1"), (5, None, "1"))
+    latest.upsert(again, table, "product_url", "fetched_at", ["session_file", "pos"])
+    assert sorted(r.row_id for r in latest.current(spark, table).collect()) == [2, 3, 5]
+    assert sum(1 for _ in (tmp_path / "t").glob("v*/_bucket=*")) == len(latest._manifest(spark, table))
