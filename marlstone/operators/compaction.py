@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.json_records import records_column
+from ..sources.storage import delete
 from .windows import prefix_sum
 
 TARGET_BYTES = 128 * 1024 * 1024
@@ -20,21 +21,21 @@ MANIFEST_BUCKET = 8192
 
 
 def file_records(files: DataFrame, payload: bool = False) -> DataFrame:
-    """(file_id, rec_no, product_url, fetched_at[, payload]): the complete records of all files; empty files have none."""
+    """(file_id, rec_no, at, product_url, fetched_at[, payload]): the complete records of all files; empty files have none."""
     t = files.select("file_id", F.explode(records_column(F.col("content"), ["product_url", "fetched_at"], payload)).alias("_r"))
     return t.select("file_id", "_r.*")
 
 
 def kept_records(files: DataFrame) -> DataFrame:
-    """(file_id, rec_no): of equal product_url and fetched_at the smallest (file_id, rec_no); all with a null or empty product_url.
+    """(file_id, rec_no, at): of equal product_url and fetched_at the smallest (file_id, rec_no); all with a null or empty product_url.
 
-    Null moments are equal to each other. One partially aggregated shuffle; a third of all rows being one record sends one
-    row a task.
+    Null moments are equal to each other. One pass and one partially aggregated shuffle; a third of all rows being one record sends
+    one row a task.
     """
-    r = file_records(files)
-    r = r.withColumn("_blank", F.coalesce(F.col("product_url"), F.lit("")) == "")
-    first = r.filter(~F.col("_blank")).groupBy("product_url", "fetched_at").agg(F.min(F.struct("file_id", "rec_no")).alias("_m")).select("_m.file_id", "_m.rec_no")
-    return first.unionByName(r.filter("_blank").select("file_id", "rec_no"))
+    blank = F.coalesce(F.col("product_url"), F.lit("")) == ""
+    r = file_records(files).withColumn("_own", F.when(blank, F.struct("file_id", "rec_no")))
+    r = r.groupBy(F.when(~blank, F.col("product_url")).alias("_u"), F.when(~blank, F.col("fetched_at")).alias("_f"), "_own")
+    return r.agg(F.min(F.struct("file_id", "rec_no", "at")).alias("_m")).select("_m.file_id", "_m.rec_no", "_m.at")
 
 
 def plan_groups(manifest: DataFrame, size: str = "size_bytes", order: str = "file_id", target: int = TARGET_BYTES) -> DataFrame:
@@ -47,44 +48,53 @@ def plan_groups(manifest: DataFrame, size: str = "size_bytes", order: str = "fil
     return m.withColumn("group_no", F.floor(F.col("start_byte") / target).cast("bigint"))
 
 
+def group_of(start: Column, at: Column, target: int) -> Column:
+    """The interval of ``target`` bytes in which a record begins; a file that is larger than an interval is cut where records begin."""
+    return F.floor((start + at) / target).cast("bigint")
+
+
 def rewrite(files: DataFrame, out: str, target: int = TARGET_BYTES) -> DataFrame:
-    """Writes every kept record to Parquet files of about ``target`` bytes and returns the reconciliation of each group.
+    """Writes every kept record to Parquet files of about ``target`` input bytes and returns the reconciliation of each group.
 
-    The reconciliation (group_no, planned_records, written_records) is read back from what was written.
+    Groups are ranges of the frozen manifest's bytes, so the rewrite is one range partitioning by group: a task writes one or a few whole
+    groups, and a group is one file. The reconciliation (group_no, planned_records, written_records) is read back from what was written.
     """
-    plan = plan_groups(files.select("file_id", "size_bytes"), target=target).select("file_id", "group_no")
-    keep = cut_lineage(kept_records(files))  # read twice below
-    rec = file_records(files, payload=True).join(keep, ["file_id", "rec_no"], "left_semi").join(plan, "file_id")
-    n = max(1, (plan.agg(F.max("group_no")).first()[0] or 0) + 1)
-    # One file a group: a group is in one partition, and groups that share one are written apart.
-    rec.repartition(n, "group_no").sortWithinPartitions("group_no", "file_id", "rec_no").write.mode("overwrite").partitionBy("group_no").parquet(out)
+    plan = plan_groups(files.select("file_id", "size_bytes"), target=target).select("file_id", "start_byte")
+    keep = cut_lineage(kept_records(files).join(plan, "file_id").select("file_id", "rec_no", group_of(F.col("start_byte"), F.col("at"), target).alias("group_no")))  # read twice below
+    rec = file_records(files, payload=True).drop("at").join(keep, ["file_id", "rec_no"])
+    planned = cut_lineage(keep.groupBy("group_no").agg(F.count(F.lit(1)).alias("planned_records")))
+    n = max(1, planned.count())
+    rec.repartitionByRange(n, "group_no").sortWithinPartitions("group_no", "file_id", "rec_no").write.mode("overwrite").partitionBy("group_no").parquet(out)
     back = files.sparkSession.read.schema(rec.schema).parquet(out).groupBy("group_no").agg(F.count(F.lit(1)).alias("written_records"))
-    planned = keep.join(plan, "file_id").groupBy("group_no").agg(F.count(F.lit(1)).alias("planned_records"))
     return planned.join(back, "group_no", "full").na.fill(0, ["planned_records", "written_records"])
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/groups-{uuid.uuid4().hex}"
+
+
 def consolidated(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(file_id, rec_no) of every record as it stands in the planned, rewritten and reconciled groups.
 
-    The groups are written to a folder of their own beside the checkpoints and dropped once their rows are read back; ``rewrite``
+    ``target`` is the size of a group in input bytes. The groups are written to a folder of their own beside the checkpoints and dropped once their rows are read back; ``rewrite``
     keeps them where it is told to. A group whose counts differ from the plan raises.
     """
     spark = files.sparkSession
-    ensure_checkpoint_dir(spark)
-    out = f"{spark.sparkContext.getCheckpointDir()}/groups-{uuid.uuid4().hex}"
+    out = own_folder(spark)
     try:
         wrong = rewrite(files, out, target).filter("planned_records <> written_records").limit(5).collect()
         if wrong:
             raise RuntimeError(f"groups not written as planned: {wrong}")
         return cut_lineage(spark.read.schema("file_id bigint, rec_no bigint").parquet(out).select("file_id", "rec_no"))
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, out)
 
 
 def group_report(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(group_no, n_files, n_bytes, n_records): the plan's groups with the kept records of each."""
-    plan = plan_groups(files.select("file_id", "size_bytes"), target=target)
+    plan = plan_groups(files.select("file_id", "size_bytes"), target=target)  # a group's files are those that begin in it
     kept = kept_records(files).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         plan.join(kept, "file_id", "left").groupBy("group_no")

@@ -7,8 +7,12 @@ table says which names mean one field, both for renames and for the casts of the
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 from .windows import bucketed_ordinal
@@ -36,6 +40,8 @@ ALIASES = {
         "fetched_at": ["fetchedat", "fetched", "timestamp", "scrapedat", "crawledat"],
     },
 }
+# Types of the consistent tables' columns; the others are text. A moment is whole seconds since 1970.
+TYPES = {"fetched_at": "moment", "number_in_stocks": "bigint"}
 BUCKET = 4096
 
 
@@ -44,9 +50,9 @@ def _norm(name: Column) -> Column:
 
 
 def alias_table(spark) -> DataFrame:
-    """(feed, alias, canonical), about 60 fixed rows."""
-    rows = [(f, a, c) for f, m in ALIASES.items() for c, names in m.items() for a in names]
-    return spark.createDataFrame(rows, "feed string, alias string, canonical string")
+    """(feed, alias, canonical, type), about 60 fixed rows."""
+    rows = [(f, a, c, TYPES.get(c, "string")) for f, m in ALIASES.items() for c, names in m.items() for a in names]
+    return spark.createDataFrame(rows, "feed string, alias string, canonical string, type string")
 
 
 def _kind(v: Column) -> Column:
@@ -67,7 +73,9 @@ def catalogue(records: DataFrame) -> DataFrame:
     ``types`` is the sorted list of JSON types of the non-null values, '' if all are null; ``kinds`` a mask of the kinds of
     scalar values. A payload that is null, no JSON or no object has no fields. The first of equal names in a record counts.
     """
-    v = records.select("collector", "feed", "session_file", F.try_parse_json(F.col("payload")).alias("_v"))
+    v = records.select("collector", "feed", "session_file", "payload", F.try_parse_json(F.col("payload")).alias("_v"))
+    # The parser refuses records that repeat a name; only those pass through Python.
+    v = v.withColumn("_v", F.coalesce("_v", F.try_parse_json(_without_repeats(F.when(F.col("_v").isNull() & F.col("payload").rlike(r"^\s*\{"), F.col("payload"))))))
     v = v.filter(F.schema_of_variant("_v").startswith("OBJECT"))
     t = v.sparkSession.sql("SELECT collector, feed, session_file, key AS field, schema_of_variant(value) AS _t, cast(value AS string) AS _s FROM {v}, LATERAL variant_explode(_v)", v=v)
     bit = (
@@ -143,7 +151,7 @@ def changes(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     alias = F.broadcast(alias_table(spark))  # fixed, about 60 rows
     e = cut_lineage(lifespans(records))  # read five times below
-    e = e.withColumn("alias", _norm(F.col("field"))).join(alias, ["feed", "alias"], "left")
+    e = e.withColumn("alias", _norm(F.col("field"))).join(alias.drop("type"), ["feed", "alias"], "left")
     e = e.withColumn("meaning", F.coalesce("canonical", F.concat(F.lit("?"), "alias")))
     k = ["collector", "feed", "session_file"]
     gone = e.filter("edge = 'end'").select(*k, F.col("field").alias("f0"), F.col("types").alias("t0"), F.col("kinds").alias("k0"), F.col("meaning").alias("m0"), F.col("canonical").alias("c0"))
@@ -168,33 +176,104 @@ def changes(records: DataFrame) -> DataFrame:
     return renamed.select(*k, "field", "new_field", F.lit("renamed").alias("change")).unionByName(out(added, "added")).unionByName(out(removed, "removed")).unionByName(out(retyped, "retyped"))
 
 
-def _text(raw: Column) -> Column:
-    """One text of a value: an array's first element, an object's href or amount, else the value itself; null for null and ''."""
-    first = F.coalesce(F.get_json_object(raw, "$[0]"), raw)
-    t = F.when(F.startswith(raw, F.lit("[")), first).when(F.startswith(raw, F.lit("{")), F.coalesce(F.get_json_object(raw, "$.href"), F.concat_ws(" ", F.get_json_object(raw, "$.amount"), F.get_json_object(raw, "$.unit")))).otherwise(raw)
-    return F.nullif(t, F.lit(""))
+def _first_wins(pairs: list[tuple[str, object]]) -> dict:
+    out: dict = {}
+    for k, v in pairs:
+        out.setdefault(k, v)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _without_repeats(payloads: pd.Series) -> pd.Series:
+    """A JSON object with the first of its equal names; null for what is no JSON object."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            d = json.loads(text, object_pairs_hook=_first_wins) if text else None
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(d, ensure_ascii=False) if isinstance(d, dict) else None
+
+    return payloads.map(one)
+
+
+class _Pairs(list):
+    """A JSON object's names and values, repeated names too."""
+
+
+def _plain(v: object) -> object:
+    if isinstance(v, _Pairs):
+        return _first_wins([(k, _plain(x)) for k, x in v])
+    return [_plain(x) for x in v] if isinstance(v, list) else v
+
+
+def _written(v: object) -> str:
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def _main(v: object) -> tuple[str | None, bool]:
+    """The one text of a value, and whether it says all of it: an array's first element, an object's href or amount and unit, else the value itself."""
+    if isinstance(v, list):
+        first = v[0] if v else None
+        return (None if first is None else _written(first)), len(v) == 1 and not isinstance(first, (list, dict))
+    if isinstance(v, dict):
+        if v.get("href") is not None:
+            return _written(v["href"]), False
+        parts = [_written(v[k]) for k in ("amount", "unit") if v.get(k) is not None]
+        return (" ".join(parts) or None), False
+    return _written(v), True
+
+
+def _entry_list(text: str | None) -> list[dict] | None:
+    try:
+        pairs = json.loads(text, object_pairs_hook=_Pairs) if text else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(pairs, _Pairs):
+        return None
+    out = []
+    for pos, (field, raw) in enumerate(pairs):
+        v = _plain(raw)
+        if v is not None and v != "":
+            main, whole = _main(v)
+            out.append({"field": field, "pos": pos, "raw": _written(v), "main": main or None, "whole": whole})
+    return sorted(out, key=lambda e: (e["field"], e["pos"]))
+
+
+_ENTRIES = ArrayType(StructType([StructField("field", StringType()), StructField("pos", IntegerType()), StructField("raw", StringType()), StructField("main", StringType()), StructField("whole", BooleanType())]))
+
+
+@F.pandas_udf(_ENTRIES)
+def entries(payloads: pd.Series) -> pd.Series:
+    """The non-empty values of a record by name, repeated names too; null for what is no JSON object."""
+    return payloads.map(_entry_list)
 
 
-def _spelled(entries: str, names: list[str]) -> Column:
-    """The non-null values of the entries whose names are among ``names``."""
-    return F.filter(F.transform(F.filter(entries, lambda x: _norm(x.key).isin(names)), lambda x: x.value), lambda v: v.isNotNull())
+def _named(names: list[str]):
+    return lambda e: _norm(e["field"]).isin(names)
 
 
 def consistent(records: DataFrame, feed: str) -> DataFrame:
-    """All records of a feed in one table: the feed's columns as text, fetched_at as seconds, and ``extras`` as a map.
+    """All records of a feed in one table that loses nothing: the feed's columns cast as the alias table says, ``extras`` and ``cast_failures``.
 
-    The casts come from the alias table; of several spellings in one record the first non-null by name counts. Records that
-    are no JSON objects come out with null fields and ``readable`` false, so that none is lost.
+    Of several spellings of a column in one record the first non-empty by name counts. ``extras`` is a list of (field, value): values of
+    unknown names, further spellings, arrays and objects of which a column holds only a part, and texts that a cast refused, whose columns
+    ``cast_failures`` lists. Equal names in one record are all kept. Records that are no JSON objects come out with null columns and
+    ``readable`` false.
     """
     from ..functions.moments import epoch_second
 
-    r = records.filter(F.col("feed") == feed)
-    m = F.from_json("payload", "map<string,string>")
-    r = r.withColumn("_e", F.array_sort(F.map_entries(m)))
-    cols, known = [], []
+    r = records.filter(F.col("feed") == feed).withColumn("_e", entries("payload"))
+    cols, taken, failed = [], [], []
     for canonical, names in ALIASES[feed].items():
-        known += names
-        text = _text(F.get(_spelled("_e", names), F.lit(0)))
-        cols.append((epoch_second(text) if canonical == "fetched_at" else text).alias(canonical))
-    extras = F.map_from_entries(F.filter("_e", lambda x: ~_norm(x.key).isin(known)))
-    return r.select("rec_id", "collector", "session_file", "pos", *cols, extras.alias("extras"), F.col("_e").isNotNull().alias("readable"))
+        chosen = F.get(F.filter("_e", _named(names)), F.lit(0))
+        text, kind = chosen["main"], TYPES.get(canonical, "string")
+        value = epoch_second(text) if kind == "moment" else text if kind == "string" else text.try_cast(kind)
+        cols.append(value.alias(canonical))
+        taken.append(F.when(chosen["whole"] & value.isNotNull(), chosen["pos"]))
+        if kind != "string":
+            failed.append(F.when(text.isNotNull() & value.isNull(), F.lit(canonical)))
+    some = lambda a: F.filter(F.array(*a), lambda x: x.isNotNull())
+    t = r.select("rec_id", "collector", "session_file", "pos", *cols, "_e", some(taken).alias("_taken"), F.when(F.col("_e").isNotNull(), some(failed)).alias("cast_failures"), F.col("_e").isNotNull().alias("readable"))
+    extras = F.transform(F.filter("_e", lambda e: ~F.array_contains(F.col("_taken"), e["pos"])), lambda e: F.struct(e["field"].alias("field"), e["raw"].alias("value")))
+    return t.select("rec_id", "collector", "session_file", "pos", *ALIASES[feed], extras.alias("extras"), "cast_failures", "readable")

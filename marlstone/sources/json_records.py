@@ -14,7 +14,12 @@ _SKIP = " \t\r\n﻿,[]"
 
 
 def complete_objects(text: str | None) -> Iterator[dict]:
-    """The complete top-level JSON objects of a text, in order: of an array, of lines, or one after another.
+    """``placed_objects`` without the places."""
+    return (d for _, d in placed_objects(text))
+
+
+def placed_objects(text: str | None) -> Iterator[tuple[int, dict]]:
+    """(place of its first sign, object) of the complete top-level JSON objects of a text, in order: of an array, of lines, or one after another.
 
     Elements that are no objects are skipped. What can't be read is skipped up to the next line that begins an object;
     a cut-off tail gives nothing. Null and blank texts give nothing.
@@ -42,9 +47,9 @@ def complete_objects(text: str | None) -> Iterator[dict]:
                 return
             i = at + 1
             continue
-        i = end
         if isinstance(value, dict):
-            yield value
+            yield i, value
+        i = end
 
 
 MOST_CHARS = 1 << 26  # of one record; what is longer counts as broken
@@ -91,13 +96,13 @@ def _plain(v: object) -> str | None:
 
 
 def records_column(content: Column, fields: list[str], payload: bool = False) -> Column:
-    """array<struct<rec_no, fields..., [payload]>> of a column of whole files; rec_no counts complete objects from 1."""
-    cols = ["rec_no bigint", *[f"`{f}` string" for f in fields], *(["payload string"] if payload else [])]
+    """array<struct<rec_no, at, fields..., [payload]>> of a column of whole files; rec_no counts complete objects from 1, ``at`` is an object's place in the file."""
+    cols = ["rec_no bigint", "at bigint", *[f"`{f}` string" for f in fields], *(["payload string"] if payload else [])]
 
     def one(text: str | None) -> list[dict]:
         out = []
-        for n, d in enumerate(complete_objects(text), 1):
-            r = {"rec_no": n} | {f: _plain(d.get(f)) for f in fields}
+        for n, (at, d) in enumerate(placed_objects(text), 1):
+            r = {"rec_no": n, "at": at} | {f: _plain(d.get(f)) for f in fields}
             if payload:
                 r["payload"] = json.dumps(d, ensure_ascii=False)
             out.append(r)

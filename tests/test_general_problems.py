@@ -111,7 +111,21 @@ def test_drift_edges_against_brute_force(spark, sf):
 def test_drift_consistent_casts(spark):
     data = files([{"url": {"href": "http://a"}, "timestamp": "2026-01-01T00:00:00", "raw_html": "<p>", "Market": "m", "cat_page": ["http://c"], "extra": [1]}])
     r = drift.consistent(spark.createDataFrame(data, RECORD), "products_html").first()
-    assert (r.product_url, r.fetched_at, r.html, r.market, r.category_page, r.extras) == ("http://a", 1767225600, "<p>", "m", "http://c", {"extra": "[1]"})
+    assert (r.product_url, r.fetched_at, r.html, r.market, r.category_page) == ("http://a", 1767225600, "<p>", "m", "http://c")
+    assert [tuple(x) for x in r.extras] == [("extra", "[1]"), ("url", '{"href":"http://a"}')] and r.cast_failures == []
+
+
+def test_drift_consistent_loses_nothing(spark):
+    twice = '{"zz":1,"zz":"b","title":"t","name":"n","stock":"many","original_url":["http://a","http://b"],"url":"http://c","price":{"amount":5,"unit":"EUR","tax":1},"fetched_at":"never","rating":3.5,"html":"","dose":null}'
+    df = spark.createDataFrame([(1, "c", "parsed_merged", "f_20260101_000000.json", 0, twice), (2, "c", "parsed_merged", "f_20260101_000000.json", 1, "{"), (3, "c", "parsed_merged", "f_20260102_000000.json", 0, '{"zz": 1}'), (4, "c", "products_html", "f", 0, "{}")], RECORD)
+    got = {r.rec_id: r for r in drift.consistent(df, "parsed_merged").collect()}
+    r = got[1]
+    assert (r.listing_title, r.price, r.original_url, r.number_in_stocks, r.fetched_at, r.rating, r.dosage) == ("n", "5 EUR", "http://a", None, None, "3.5", None)
+    assert sorted(map(tuple, r.extras)) == sorted([("zz", "1"), ("zz", "b"), ("title", "t"), ("stock", "many"), ("original_url", '["http://a","http://b"]'), ("url", "http://c"), ("price", '{"amount":5,"unit":"EUR","tax":1}'), ("fetched_at", "never")])
+    assert sorted(r.cast_failures) == ["fetched_at", "number_in_stocks"] and r.readable and not got[2].readable and got[2].extras is None and set(got) == {1, 2, 3}
+    # A record that repeats a name is in the catalogue with the first of them.
+    cat = {(x.session_file, x.field): x.types for x in drift.catalogue(df).collect()}
+    assert cat["f_20260101_000000.json", "zz"] == 16 and ("f_20260102_000000.json", "zz") in cat and len(cat) == 12
 
 
 # ---- 2 ----------------------------------------------------------------------------------------------------------
@@ -127,7 +141,12 @@ def test_deliveries(spark):
     assert sorted(r.row_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 8] and kept.columns == df.columns
     assert rows(dedupe.surplus_deliveries(df.limit(0))) == []
     # Another order: the latest row stays.
-    assert rows(dedupe.surplus_deliveries(df.dropDuplicates(["row_id"]), order=[-F.col("row_id")])) == [(1,)]
+    assert rows(dedupe.surplus_deliveries(df.dropDuplicates(["row_id"]), delivered=-F.col("row_id"))) == [(1,)]
+    late = df.withColumn("session_file", F.when(F.col("row_id") == 1, "x_20260102_000000.json").when(F.col("row_id") == 2, "x_20260101_000000.json"))
+    assert rows(dedupe.surplus_deliveries(late, delivered=dedupe.delivery_time(F.col("session_file")))) == [(1,)]
+    negative = spark.createDataFrame([(-5, "http://a/x", "100"), (7, "http://a/x", "100"), (None, "http://a/x", "100")], "row_id bigint, product_url string, fetched_at string")
+    assert rows(dedupe.surplus_deliveries(negative, delivered=F.lit(9))) == [(7,)] == rows(dedupe.surplus_deliveries(negative))
+    assert "SortAggregate" not in dedupe.surplus_deliveries(df, delivered=F.col("row_id"))._jdf.queryExecution().toString()
 
 
 def test_hot_key(spark):
@@ -207,7 +226,7 @@ def test_kept_records_and_rewrite(spark, tmp_path):
     a, b = page("a"), page("b")
     data = [(3, "p", 10, f"[{a}, {b}]", 0), (1, "p", 30, f"{b}\n{page('a', 2)}\n{page(None)}\n{page('')}", 0), (2, "p", 0, "", 0), (4, "p", 25, f"{b}{page(None)}", 0), (5, "p", None, None, 0), (6, "p", 5, a[:-3], 0)]
     df = spark.createDataFrame(data, FILE)
-    assert rows(compaction.kept_records(df)) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (4, 2)]
+    assert rows(compaction.kept_records(df).drop("at")) == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (4, 2)]
     report = compaction.rewrite(df, str(tmp_path / "out"), target=40)
     assert all(r.planned_records == r.written_records for r in report.collect()) and sum(r.written_records for r in report.collect()) == 6
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -215,6 +234,13 @@ def test_kept_records_and_rewrite(spark, tmp_path):
     assert rows(compaction.kept_records(df.limit(0))) == []
 
 
+def test_a_large_file_is_cut_between_records(spark, tmp_path):
+    big = "\n".join(page(f"u{n}") for n in range(30))
+    df = spark.createDataFrame([(1, "p", len(big), big, 0), (2, "p", 10, page("z"), 0)], FILE)
+    report = compaction.rewrite(df, str(tmp_path / "out"), target=len(big) // 5).collect()
+    assert len(report) in (6, 7) and sum(r.written_records for r in report) == 31 and all(r.planned_records == r.written_records and r.written_records <= 7 for r in report)
+
+
 def test_found_is_read_back_from_groups(spark, tmp_path, monkeypatch):
     from marlstone.plans.problems import p7_found
 
