@@ -1,13 +1,15 @@
-"""Listings of the same product, grouped through vectors of their titles.
-
-1. Each listing is read into canonical attributes (listing_attributes). Words that stand as substances for many names form the
-   substance list, the rest are names; listings with equal name, form, strength and pack are one signature at once, so
-   a product that holds a third of all rows is one row from here on.
-2. Signatures are encoded by the contrastive subword encoder and searched in an inverted file: cells by nearest centroid,
-   as many probes as a check against exact neighbours asks for. Cells are cut into blocks of bounded size.
-3. Neighbours that differ in form, strength or pack are vetoed; names must be within small edit distance, and two names that
-   are both well attested stay apart, unless one is as rare beside the other as a misspelling is. What remains in both directions (mutual neighbours) is joined into groups.
-4. A signature that lacks attributes joins the only one of its name that contradicts none of the others.
+"""Listings of the same product, grouped through vectors of their wording.
+
+1. Each listing is read: the words of its title that name something, the name that its description states, and the numeric variant
+   (listing_attributes). Listings of equal reading are one wording at once, so that copies which hold a third of all rows are one
+   row from here on. Nothing else is equal by itself: two wordings are the same product only if the search says so.
+2. Wordings are encoded by the contrastive subword encoder, which learns that words many products share tell little, and are
+   searched in an inverted file: cells by variant and nearest centroid, as many probes as a check against exact neighbours asks for.
+   Cells are cut into blocks of bounded size.
+3. Neighbours of another form, strength or pack are vetoed, and so are neighbours whose own names (the best attested word that is no
+   substance) can't be one name: names within a small edit distance can, unless both are well attested. What remains and lies in each
+   other's probes (mutual neighbours) is joined into groups; a task passes on its groups, not its pairs.
+4. A wording that lacks attributes joins the only variant of its name that contradicts none of the others.
 """
 
 from __future__ import annotations
@@ -24,40 +26,44 @@ from . import listing_attributes as A
 from . import title_encoder as E
 from ..session import cut_lineage
 
-SAMPLE = 6000  # signatures on which encoder and centroids are fitted, by hash order
+SAMPLE = 6000  # wordings on which encoder and centroids are fitted, by hash order
 CHECKED = 256  # of them searched exactly too, to tune the probes
-RECALL = 0.97
-BLOCK = 4096  # vectors of a cell in one task at most
-SIMILAR = 0.4  # cosine above which signatures are neighbours, at most; lower if misspelt copies lie further apart
-MISSED_COPIES = 0.005  # share of the misspelt copies that may lie further
+RECALL = 0.995
+BLOCK = 4096  # vectors of a cell in one block at most
+TASK_ROWS = 20_000  # rows of the search in one group of cells, about
+SIMILAR = 0.4  # cosine above which wordings are neighbours, at most; lower if damaged copies lie further apart
+MISSED_COPIES = 0.005  # share of the damaged copies that may lie further
 ATTESTED = 4  # listings that make a name well attested
 MISSPELT = 0.1  # share of a name's listings up to which another spelling, however often it occurs, can be a misspelling of it
-MAX_CELLS = 2048
+LEAST_A_CENTROID = 3  # wordings of the sample for each centroid
 
-_FIELDS = "listing_id bigint, words array<string>, name string, substance string, generic string, form string, strength string, pack string, offer string"
+_FIELDS = "listing_id bigint, key string, words array<string>, name string, substance string, generic string, form string, strength string, pack string, offer string"
+VARIANT = ["form", "strength", "pack"]
+
+
+def _digest(*parts: object) -> str:
+    return hashlib.blake2b(repr(parts).encode(), digest_size=16).hexdigest()
 
 
 def attributes(listings: DataFrame) -> DataFrame:
-    """One row of canonical attributes for each listing; null fields state nothing.
+    """One row of what each listing states; null fields state nothing.
 
-    ``offer`` is a digest of seller and texts of a listing that states no name, else ''; without title and description it is '' too.
+    ``key`` is a digest of the wording: words, stated name and variant; '' for a listing that states no name. ``offer`` is a digest of
+    seller and texts of such a listing, else ''; without title and description it is '' too.
     """
 
-    def offer(row: A.Listing, *texts: str | None) -> str:
-        if row.words or row.name or not any((t or "").strip() for t in texts[1:3]):
-            return ""
-        return hashlib.blake2b(repr([t or "" for t in texts]).encode(), digest_size=16).hexdigest()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [A.read(t, d, s) for t, d, s in zip(b["listing_title"], b["description"], b["dosage"])]
             out = pd.DataFrame(rows, columns=A.Listing._fields)
-            out["words"] = out["words"].map(list)
-            out["offer"] = [offer(r, m, t, d, s) for r, m, t, d, s in zip(rows, b["market_name"], b["listing_title"], b["description"], b["dosage"])]
+            out["words"] = [sorted(set(r.words)) for r in rows]
+            out["key"] = [_digest(w, r.name, r.form, r.strength, r.pack) if w or r.name else "" for w, r in zip(out["words"], rows)]
+            texts = zip(b["market_name"], b["listing_title"], b["description"], b["dosage"])
+            out["offer"] = [_digest(*[x or "" for x in t]) if not k and any((x or "").strip() for x in t[1:3]) else "" for k, t in zip(out["key"], texts)]
             out.insert(0, "listing_id", b["listing_id"].to_numpy())
-            yield out
+            yield out[[f.split()[0] for f in _FIELDS.split(", ")]]
 
-    return listings.select("listing_id", "market_name", "listing_title", "description", "dosage").mapInPandas(run, _FIELDS)
+    return listings.filter("listing_id is not null").select("listing_id", "market_name", "listing_title", "description", "dosage").mapInPandas(run, _FIELDS)
 
 
 def substances(attrs: DataFrame) -> DataFrame:
@@ -66,13 +72,22 @@ def substances(attrs: DataFrame) -> DataFrame:
     return votes.select("x.w", "x.v").filter("w <> ''").groupBy(F.col("w").alias("word")).agg(F.sum("v").alias("n")).filter("n > 0").select("word")
 
 
-def named(attrs: DataFrame) -> DataFrame:
-    """(listing_id, name, form, strength, pack): the name is the best attested candidate word, else the substance."""
-    cand = attrs.select("listing_id", "form", "strength", "pack", F.explode(F.array_union("words", F.filter(F.array("name"), lambda x: x != ""))).alias("word"))
-    sub = substances(attrs).withColumn("is_sub", F.lit(1))
-    counts = cand.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # pre-aggregated; joined back on the word
-    ranks = counts.join(sub, "word", "left").select("word", F.struct((F.coalesce("is_sub", F.lit(0)) == 0).alias("own"), "df", "word").alias("rank"))
-    return cand.join(ranks, "word").groupBy("listing_id", "form", "strength", "pack").agg(F.max("rank").alias("r")).select("listing_id", F.col("r.word").alias("name"), "form", "strength", "pack")
+def wordings(attrs: DataFrame) -> DataFrame:
+    """(sig, key, c, text, name, n, form, strength, pack): one row for each wording; ``sig`` is its least listing id, ``c`` its listings.
+
+    ``name`` is the best attested of its words that is no substance, else the best attested substance, and ``n`` how many listings
+    have that name.
+    """
+    w = attrs.filter("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("listing_id").alias("sig"), F.min(F.struct("words", "name", *VARIANT)).alias("a"))
+    w = cut_lineage(w.select("sig", "key", "c", "a.*"))  # read three times below
+    every = F.array_union("words", F.filter(F.array("name"), lambda x: x != ""))
+    cand = w.select("sig", "c", F.explode(every).alias("word"))
+    df = cand.groupBy("word").agg(F.sum("c").alias("df"))  # pre-aggregated; joined back on the word
+    ranks = df.join(substances(attrs).withColumn("is_sub", F.lit(1)), "word", "left").select("word", F.struct(F.col("is_sub").isNull().alias("own"), "df", "word").alias("rank"))
+    best = cand.join(ranks, "word").groupBy("sig", "c").agg(F.max("rank").alias("r")).select("sig", "c", F.col("r.word").alias("best"))
+    n = best.groupBy("best").agg(F.sum("c").alias("n"))
+    named = best.join(n, "best").select("sig", F.col("best").alias("_name"), "n")
+    return w.join(named, "sig").select("sig", "key", "c", F.array_join(every, " ").alias("text"), F.col("_name").alias("name"), "n", *VARIANT)
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -107,23 +122,20 @@ def same_name(a: str, b: str, na: int, nb: int) -> bool:
     return _distance(a, b, most) <= most
 
 
-def canonical_title(name: str, form: str, strength: str, pack: str) -> str:
-    return f"{name} =f:{form} =s:{strength} =p:{pack}"
-
-
 class Index:
-    """What every task of the search needs: encoder, centroids, number of probes. A few hundred kB, whatever the corpus."""
+    """What every task of the search needs: encoder, centroids, number of probes. A MB or so, whatever the corpus."""
 
-    def __init__(self, texts: list[str], total: int):
+    def __init__(self, texts: list[str], vectors_a_variant: float):
+        """``vectors_a_variant``: how many wordings share a variant, on average; their cells grow with its square root."""
         self.encoder = E.Encoder.train(texts)
         v = self.encoder.encode(texts)
-        k = int(np.clip(np.sqrt(total) / 2, 1, MAX_CELLS))
+        k = int(np.clip(np.sqrt(vectors_a_variant), 1, max(1, len(texts) // LEAST_A_CENTROID)))
         self.centroids = E.centroids(v, k) if len(v) else np.zeros((1, E.DIM), np.float32)
         self.similar = SIMILAR
         if len(v) > 1:
             r = np.random.default_rng(E.SEED + 1)
             at = np.arange(4 * CHECKED) % len(v)  # small tables give several copies each
-            copies = self.encoder.encode([E.corrupt(texts[n], r, only_letters=True) for n in at])
+            copies = self.encoder.encode([E.corrupt(texts[n], r) for n in at])
             self.similar = float(min(SIMILAR, np.quantile((copies * v[at]).sum(1), MISSED_COPIES)))
         self.probes = self.tune(texts, v)
 
@@ -135,21 +147,21 @@ class Index:
     def tune(self, texts: list[str], v: np.ndarray) -> int:
         """The fewest probes, two at least, with which RECALL of the exact neighbours of the checked queries is found.
 
-        Queries are checked titles and corrupted copies of them; neighbours are all others that are similar enough, by brute force,
-        and the title that a copy was made of.
+        Queries are checked wordings and damaged copies of them; neighbours are all others that are similar enough, by brute force,
+        and the wording that a copy was made of. A neighbour counts as found if each lies in the other's probes.
         """
         if len(v) < 2 or len(self.centroids) == 1:
             return 1
         r = np.random.default_rng(E.SEED)
-        home = (v @ self.centroids.T).argmax(1)
         n = min(CHECKED, len(v))
         q = np.concatenate([v[:n], self.encoder.encode([E.corrupt(t, r) for t in texts[:n]])])
         near = q @ v.T >= self.similar
         near[np.arange(n), np.arange(n)] = False
         near[n + np.arange(n), np.arange(n)] = True
         a, b = near.nonzero()
-        place = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1), axis=1)
-        need = place[a, home[b]]
+        place = lambda x: np.argsort(np.argsort(-(x @ self.centroids.T), axis=1), axis=1)
+        home = lambda x: (x @ self.centroids.T).argmax(1)
+        need = np.maximum(place(q)[a, home(v)[b]], place(v)[b, home(q)[a]])
         copies = (a >= n) & (b == a - n)
         for probes in range(2, len(self.centroids)):
             if (need < probes).mean() >= RECALL and (need[copies] < probes).mean() >= RECALL:
@@ -158,57 +170,80 @@ class Index:
 
 
 def fit_index(signatures: DataFrame) -> Index:
-    rows = signatures.orderBy(F.xxhash64("name", "form", "strength", "pack"), "name", "form", "strength", "pack").limit(SAMPLE).collect()  # bounded sample
-    return Index([canonical_title(r.name, r.form, r.strength, r.pack) for r in rows], signatures.count())
+    rows = signatures.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()  # bounded sample
+    size = signatures.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*VARIANT)).alias("v")).first()
+    return Index([r.text for r in rows], size.n / max(1, size.v))
+
+
+def _joined(s: pd.DataFrame, q: pd.DataFrame, similar: float) -> list[tuple[int, int]]:
+    """Edges (least, other) of the groups that mutual neighbours of one block make; queries come in slices, which bounds the memory."""
+    ids, names, ns = s["sig"].to_numpy(), s["name"].to_numpy(), s["n"].to_numpy()
+    sv = np.frombuffer(b"".join(s["v"]), dtype=np.int8).reshape(len(s), -1).astype(np.float32) / 127
+    code, kinds = pd.factorize(names)
+    edges: set[tuple[int, int]] = set()
+    for at in range(0, len(q), 1024):
+        part = q.iloc[at : at + 1024]
+        qv = np.frombuffer(b"".join(part["v"]), dtype=np.int8).reshape(len(part), -1).astype(np.float32) / 127
+        hit = qv @ sv.T >= similar
+        asked, homes = part["sig"].to_numpy(), part["home"].to_numpy()
+        for i in np.flatnonzero(hit.any(1)):
+            mine, name, n = int(asked[i]), part["name"].iat[i], int(part["n"].iat[i])
+            near = np.flatnonzero(hit[i])
+            # One edge to each name among the neighbours is enough: the block's wordings of one name meet through its own edges.
+            for k in np.unique(code[near]):
+                of = near[code[near] == k]
+                of = of[[homes[i] in s["probe"].iat[j] for j in of]]
+                if len(of) and same_name(name, kinds[k], n, int(ns[of[0]])):
+                    least = int(ids[of].min())
+                    if least != mine:
+                        edges.add((min(least, mine), max(least, mine)))
+    return sorted(edges)
 
 
 def links(signatures: DataFrame, index: Index) -> DataFrame:
-    """(a, b): ids of signatures that are mutual neighbours under the vetoes, a < b.
+    """(a, b): wordings that are joined as mutual neighbours under the vetoes, a < b.
 
-    Every signature searches ``probes`` cells. A cell's vectors are cut into blocks of at most about BLOCK by hash; a query
-    goes to all blocks of its cells, so none is left out.
+    Every wording asks ``probes`` cells of its own variant: a cell is a variant and a centroid, so that vectors with another form,
+    strength or pack are never compared. A cell's vectors are cut into blocks of at most about BLOCK by hash; a query goes to all
+    blocks of its cells, so none is left out. A row carries its home and its probes, so that a block knows which neighbours are
+    mutual. A wording passes on one edge for each name that it finds in a block, however many wordings have it.
     """
-    spark = signatures.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = signatures.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for b in batches:
-            v = ix.encoder.encode([canonical_title(*t) for t in zip(b["name"], b["form"], b["strength"], b["pack"])])
-            cells = ix.cells(v, ix.probes)
-            home = (v @ ix.centroids.T).argmax(1)
-            # The numeric veto is part of the cell's key: vectors with another form, strength or pack are never compared.
-            yield b.assign(v=list(v), home=home, probe=list(cells.astype(np.int64)))
-
-    cols = "sig bigint, name string, form string, strength string, pack string, n bigint, v array<float>, home bigint, probe array<bigint>"
-    placed = cut_lineage(signatures.mapInPandas(place, cols))
-    sizes = placed.groupBy("home").agg(F.count(F.lit(1)).alias("size")).select(F.col("home").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("bigint").alias("blocks"))
-    stored = placed.join(sizes, placed["home"] == sizes["cell"]).select("cell", F.pmod(F.xxhash64("sig"), "blocks").alias("block"), F.lit(0).alias("side"), "sig", "name", "form", "strength", "pack", "n", "v")
-    asked = placed.withColumn("cell", F.explode("probe")).join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", F.lit(1).alias("side"), "sig", "name", "form", "strength", "pack", "n", "v")
-
+            v = ix.encoder.encode(b["text"].tolist())
+            probes = ix.cells(v, ix.probes).astype(np.int32)
+            home = (v @ ix.centroids.T).argmax(1).astype(np.int32) if len(v) else np.zeros(0, np.int32)
+            small = np.rint(v * 127).astype(np.int8)
+            yield pd.DataFrame({"sig": b["sig"], "variant": b["variant"], "name": b["name"], "n": b["n"], "v": [x.tobytes() for x in small], "home": home, "probe": list(probes)})
+
+    kind = "sig bigint, variant bigint, name string, n bigint, v binary, home int, probe array<int>"
+    placed = cut_lineage(signatures.select("sig", F.xxhash64(*VARIANT).alias("variant"), "text", "name", "n").mapInPandas(place, kind))  # read three times below
+    cell = lambda c: F.xxhash64("variant", c)
+    sizes = placed.groupBy(cell("home").alias("cell")).agg(F.count(F.lit(1)).alias("size")).filter(f"size > {BLOCK}").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    stored = placed.withColumn("cell", cell("home")).join(sizes, "cell", "left").withColumn("block", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("side", F.lit(0))
+    asked = placed.withColumn("p", F.explode("probe")).withColumn("cell", cell("p")).drop("p").join(sizes, "cell", "left")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).withColumn("side", F.lit(1)).withColumn("probe", F.lit(None).cast("array<int>"))
+    groups_of_cells = max(1, int(signatures.count() * (1 + index.probes) / TASK_ROWS))
     similar = index.similar
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, q = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out_a: list[int] = []
-        out_b: list[int] = []
-        if len(s) and len(q):
-            sv, names, ns, ids = np.stack(s["v"].to_numpy()), s["name"].tolist(), s["n"].tolist(), s["sig"].tolist()
-            sk = pd.factorize(pd.concat([s, q])["form"] + "|" + pd.concat([s, q])["strength"] + "|" + pd.concat([s, q])["pack"])[0]
-            sk, qk = sk[: len(s)], sk[len(s) :]
-            for at in range(0, len(q), 1024):  # blocks of queries bound the memory
-                part = q.iloc[at : at + 1024]
-                hit = ((np.stack(part["v"].to_numpy()) @ sv.T) >= similar) & (qk[at : at + 1024, None] == sk[None, :])
-                for i, j in zip(*np.nonzero(hit)):
-                    a, b = int(part["sig"].iat[i]), ids[j]
-                    if a != b and same_name(part["name"].iat[i], names[j], int(part["n"].iat[i]), ns[j]):
-                        out_a.append(a)
-                        out_b.append(b)
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
-
-    found = stored.unionByName(asked).groupBy("cell", "block").applyInPandas(search, "a bigint, b bigint")
-    pair = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("forward")).distinct()
-    return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("ways")).filter("ways = 2").select("a", "b")
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cell", "block", "side"], kind="stable").reset_index(drop=True)
+        key = pdf["cell"].to_numpy().astype(np.int64) * 1000003 + pdf["block"].to_numpy()
+        side = pdf["side"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(pdf)]])
+        edges: list[tuple[int, int]] = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            if mid > lo and hi - mid > 1 - (mid - lo > 1):
+                edges += _joined(pdf.iloc[lo:mid], pdf.iloc[mid:hi], similar)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    cols = ["cell", "block", "side", "sig", "name", "n", "v", "home", "probe"]
+    both = stored.select(*cols).unionByName(asked.select(*cols)).withColumn("task", F.pmod(F.xxhash64("cell", "block"), F.lit(groups_of_cells)))
+    return both.groupBy("task").applyInPandas(search, "a bigint, b bigint").distinct()
 
 
 def completions(signatures: DataFrame) -> DataFrame:
@@ -228,41 +263,43 @@ def completions(signatures: DataFrame) -> DataFrame:
     return j.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("_most")).filter("b = _most").select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(sig, grp): connected components by least label; only misspelt signatures have edges, so few rounds do. Lineage is cut each round."""
-    both = cut_lineage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    label = cut_lineage(both.select(F.col("x").alias("sig")).distinct().withColumn("grp", F.col("sig")))
-    for _ in range(rounds):
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sig, grp): connected components under their least label. Only nodes that have edges take part.
+
+    Each round takes the least label among the neighbours and then follows labels to their own labels (pointer jumping), so that even a
+    chain needs rounds by the logarithm of its length only; it goes on until nothing moves. Lineage is cut each round.
+    """
+    both = cut_lineage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+    label = cut_lineage(both.groupBy(F.col("x").alias("sig")).agg(F.least(F.min("y"), F.first("x")).alias("grp")))
+    while True:
         least = both.join(label, both["y"] == label["sig"]).groupBy("x").agg(F.min("grp").alias("m"))
-        new = cut_lineage(label.join(least, label["sig"] == least["x"], "left").select("sig", F.least("grp", F.coalesce("m", "grp")).alias("grp"), (F.coalesce("m", "grp") < F.col("grp")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        label = new.drop("moved")
-        if not moved:
+        near = label.join(least, label["sig"] == least["x"]).select("sig", F.col("grp").alias("was"), F.least("grp", "m").alias("grp"))
+        near = cut_lineage(near)
+        up = near.select(F.col("sig").alias("_at"), F.col("grp").alias("_up"))
+        label = cut_lineage(near.join(up, near["grp"] == up["_at"], "left").select("sig", "was", F.least("grp", F.coalesce("_up", "grp")).alias("grp")))
+        if not label.filter("grp <> was").limit(1).count():
             break
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.select("sig").join(label, "sig", "left").select("sig", F.coalesce("grp", "sig").alias("grp"))
+        label = label.drop("was")
+    return nodes.select("sig").join(label.select("sig", "grp"), "sig", "left").select("sig", F.coalesce("grp", "sig").alias("grp"))
 
 
-def groups(listings: DataFrame) -> DataFrame:
-    """(listing_id, product): one row for each listing; rows with equal listing_id are one listing.
+def groups(listings: DataFrame, search: bool = True) -> DataFrame:
+    """(listing_id, product): one row for each listing; rows with equal listing_id are one listing, rows without an id none.
 
     Listings without title and description state nothing, have product null and are in no group. Others that state no name are
     grouped with copies of the same offer (seller, title, description and dosage) only. Unknown attributes equal unknown ones, and
-    the known ones of the only signature that agrees otherwise (``completions``).
+    the known ones of the only variant that agrees otherwise (``completions``). Without ``search`` only equal wordings are grouped.
     """
     read = attributes(listings)
     rest = [c for c in read.columns if c != "listing_id"]
     # Attributes are shuffled, not texts; of differing rows with one id the least counts.
     one = cut_lineage(read.groupBy("listing_id").agg(F.min(F.struct(*rest)).alias("a")).select("listing_id", "a.*"))  # read several times below
-    full = cut_lineage(named(one))
-    key = ["name", "form", "strength", "pack"]
-    sig = full.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("listing_id").alias("sig"))
-    # How well a name is attested counts over all its forms and packs.
-    sig = cut_lineage(sig.join(sig.groupBy("name").agg(F.sum("c").alias("n")), "name").select("sig", *key, "n"))
-    member = components(sig, links(sig, fit_index(sig)).unionByName(completions(sig)))
-    stated = full.join(sig.select(*key, "sig"), key).join(member, "sig").select("listing_id", F.col("grp").alias("product"))
-    nameless = one.join(full.select("listing_id"), "listing_id", "left_anti").select("listing_id", "offer")
+    sig = cut_lineage(wordings(one))
+    member = sig.select("sig", F.col("sig").alias("grp"))
+    if search:
+        member = components(sig, links(sig, fit_index(sig)).unionByName(completions(sig)))
+    stated = one.filter("key <> ''").select("listing_id", "key").join(sig.select("key", "sig").join(member, "sig"), "key").select("listing_id", F.col("grp").alias("product"))
+    nameless = one.filter("key = ''").select("listing_id", "offer")
     copies = nameless.filter("offer <> ''").groupBy("offer").agg(F.min("listing_id").alias("product"))
     return stated.unionByName(nameless.join(copies, "offer", "left").select("listing_id", "product"))
 

@@ -57,21 +57,51 @@ def test_hot_product_is_spread(spark):
     assert products.pairs(g).distinct().count() == products.pairs(g).count() == 500 * 499 // 2
 
 
+def names(n, seed=1):
+    r = np.random.default_rng(seed)
+    syll = ["ba", "ko", "ri", "nu", "ze", "xa", "mi", "lo", "te", "gu", "vi", "sar"]
+    return sorted({"".join(r.choice(syll, 4)) for _ in range(n)})
+
+
 def test_search_recall_against_exact():
     r = np.random.default_rng(1)
-    syll = ["ba", "ko", "ri", "nu", "ze", "xa", "mi", "lo", "te", "gu", "vi", "sar"]
-    texts = sorted({products.canonical_title("".join(r.choice(syll, 4)), "tablet", str(r.integers(1, 9)), "10") for _ in range(1500)})
-    ix = products.Index(texts, 100_000)
+    texts = [f"{n} {r.choice(['estrolinate', 'dienovest', 'premium'])}" if r.random() < 0.5 else n for n in names(1500)]
+    ix = products.Index(texts, 2500)
     v = ix.encoder.encode(texts)
     home, cells = (v @ ix.centroids.T).argmax(1), ix.cells(v, ix.probes)
     q = r.choice(len(texts), 300, replace=False)
     near = np.argwhere(v[q] @ v.T >= ix.similar)
     assert len(ix.centroids) > 20 and np.mean([home[b] in cells[q[a]] for a, b in near]) >= 0.9
-    # A corrupted copy stays nearer than the others.
+    # A damaged copy stays nearer than the others, and shared words tell little.
     rng = np.random.default_rng(2)
-    bad = [E.corrupt(t, rng) for t in texts[:200]]
-    top = (ix.encoder.encode(bad) @ v.T).argmax(1)
-    assert np.mean(top == np.arange(200)) > 0.8
+    bad = [E.corrupt(t, rng, ["dienovest", "hello"]) for t in texts[:200]]
+    assert np.mean((ix.encoder.encode(bad) @ v.T).argmax(1) == np.arange(200)) > 0.6
+    a, b, c = ix.encoder.encode(["bakorinu dienovest", "bakorinu", "zexamilo dienovest"])
+    assert a @ b > a @ c
+
+
+def test_search_is_what_groups(spark):
+    """Wordings that share no more than a name are one product through the search alone."""
+    data, i = [], 0
+    for n in names(60)[:40]:
+        for t in (f"{n} 5 mg 14 tablets", f"{n} (estrolinate) 5 mg 14 tablets", f"best price {n} 0.005 g tabs N14"):
+            data.append(listing(i := i + 1, t))
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {(3 * k + a, 3 * k + b) for k in range(40) for a, b in ((1, 2), (1, 3), (2, 3))}
+    with_search = {tuple(r) for r in products.pairs(products.groups(df)).collect()}
+    without = {tuple(r) for r in products.pairs(products.groups(df, search=False)).collect()}
+    assert with_search == want and len(without) == 40 and without < with_search
+
+
+def test_cells_in_blocks(spark, monkeypatch):
+    """However a cell is cut, the same groups come out."""
+    data = [listing(n, f"{w} {extra} 5 mg 14 tablets") for n, (w, extra) in enumerate((w, e) for w in names(40)[:25] for e in ("", "(estrolinate)", "(estrolinate) best price"))]
+    df = spark.createDataFrame(data, SCHEMA)
+    whole = {(r.listing_id, r.product) for r in products.groups(df).collect()}
+    monkeypatch.setattr(products, "BLOCK", 7)
+    monkeypatch.setattr(products, "TASK_ROWS", 50)
+    assert {(r.listing_id, r.product) for r in products.groups(df).collect()} == whole
+    assert len({p for _, p in whole}) == 25
 
 
 def test_same_name():
@@ -112,3 +142,8 @@ def test_components(spark):
     n = spark.range(8).selectExpr("id AS sig")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
     assert sorted((r.sig, r.grp) for r in products.components(n, e).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 5), (6, 5), (7, 7)]
+    assert products.components(n, e.limit(0)).filter("sig <> grp").count() == 0
+    # A long chain in an order of its own.
+    ids = np.random.default_rng(3).permutation(200).tolist()
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    assert {r.grp for r in products.components(spark.range(200).selectExpr("id AS sig"), chain).collect()} == {0}
