@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared folder round by round; each new one replaces the last.
+
+    A checkpoint keeps the size that the plan before it was estimated at, and estimates of joins multiply, so that over many rounds they
+    grow beyond all bounds; a written table has its own size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.base, self.last = spark, f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}", []
+        self.made = 0
+
+    def keep(self, *tables: DataFrame) -> list[DataFrame]:
+        """The tables of this round, written and read back; those of the round before are deleted."""
+        paths = []
+        for t in tables:
+            self.made += 1
+            paths.append(f"{self.base}/{self.made}")
+            t.write.mode("overwrite").parquet(paths[-1])
+        self._drop()
+        self.last = paths
+        return [self.spark.read.schema(t.schema).parquet(p) for t, p in zip(tables, paths)]
+
+    def _drop(self) -> None:
+        for p in self.last:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self, table: DataFrame) -> DataFrame:
+        """The last table as a checkpoint, without the folder."""
+        out = cut_lineage(table)
+        self._drop()
+        return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, one Parquet file or folder each."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
