@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import listing_attributes as A
 from . import title_encoder as E
-from ..session import cut_lineage
+from ..session import Rounds, cut_lineage
 
 SAMPLE = 6000  # wordings on which encoder and centroids are fitted, by hash order
 CHECKED = 256  # of them searched exactly too, to tune the probes
@@ -269,18 +269,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours and then follows labels to their own labels (pointer jumping), so that even a
     chain needs rounds by the logarithm of its length only; it goes on until nothing moves. Lineage is cut each round.
     """
-    both = cut_lineage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    label = cut_lineage(both.groupBy(F.col("x").alias("sig")).agg(F.least(F.min("y"), F.first("x")).alias("grp")))
+    rounds = Rounds(edges.sparkSession)
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
+    fixed = Rounds(edges.sparkSession)
+    (both,) = fixed.keep(both)
+    (label,) = rounds.keep(both.groupBy(F.col("x").alias("sig")).agg(F.least(F.min("y"), F.first("x")).alias("grp")))
     while True:
         least = both.join(label, both["y"] == label["sig"]).groupBy("x").agg(F.min("grp").alias("m"))
         near = label.join(least, label["sig"] == least["x"]).select("sig", F.col("grp").alias("was"), F.least("grp", "m").alias("grp"))
-        near = cut_lineage(near)
+        (near,) = rounds.keep(near)
         up = near.select(F.col("sig").alias("_at"), F.col("grp").alias("_up"))
-        label = cut_lineage(near.join(up, near["grp"] == up["_at"], "left").select("sig", "was", F.least("grp", F.coalesce("_up", "grp")).alias("grp")))
+        (label,) = rounds.keep(near.join(up, near["grp"] == up["_at"], "left").select("sig", "was", F.least("grp", F.coalesce("_up", "grp")).alias("grp")))
         if not label.filter("grp <> was").limit(1).count():
             break
         label = label.drop("was")
-    return nodes.select("sig").join(label.select("sig", "grp"), "sig", "left").select("sig", F.coalesce("grp", "sig").alias("grp"))
+    label = rounds.close(label.select("sig", "grp"))
+    fixed.close(both.limit(0))
+    return nodes.select("sig").join(label, "sig", "left").select("sig", F.coalesce("grp", "sig").alias("grp"))
 
 
 def groups(listings: DataFrame, search: bool = True) -> DataFrame:
