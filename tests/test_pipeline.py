@@ -75,6 +75,14 @@ def test_tagging(spark):
     assert tagging.tag(df, [], "t").count() == 0
 
 
+@pytest.mark.parametrize("term", ["mini-pill", "Yaz", "day after pill", "plan b", "Ru 486", "a.b", "c+ d", "ÉTÉ 1"])
+def test_matcher_agrees_with_patterns(spark, term):
+    texts = ["a MINI pill", "mini_pill", "minipill", "mini--  pill.", "xmini pill", "Yazé", "yaz", "_yaz", "yaz_", "the DAY-after... pill!", "day after pills", "plan B", "planb", "plan (b)", "ru-486", "RU486", "a.b", "A.B x", "a b", "c+ d", "c + d", "été-1", "Été  1", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = sorted(r.i for r in df.filter(F.coalesce("t", F.lit("")).rlike("(?iu)" + T.term_pattern(term))).collect())
+    assert sorted(r.i for r in tagging.tag(df, [("c", term, T.term_pattern(term))], "t").collect()) == want
+
+
 LISTING = """<html><head><title>Fine pill – River Box</title></head><body><h1 class="product_title">Fine pill 5 mg</h1><div class="summary"><p class="price">$9.50 <b>$10</b> $0</p></div>
 <table><tr><td>Dosage</td><td>5 mg</td></tr><tr><td>Shipping</td><td>EU -> US</td></tr><tr><td>Stock</td><td>1,200 in stock</td></tr></table><div class="rating">4/5 by many</div>
 <div class="woocommerce-product-details__short-description"><p>A description of more than fifty characters, so that it counts as one.</p></div><div class="reviews"><p>A review of more than twenty characters.</p><p>short</p></div></body></html>"""
