@@ -41,10 +41,13 @@ def kept_records(files: DataFrame) -> DataFrame:
 def plan_groups(manifest: DataFrame, size: str = "size_bytes", order: str = "file_id", target: int = TARGET_BYTES) -> DataFrame:
     """The manifest with ``start_byte`` and ``group_no``: files whose starts fall in one interval of ``target`` bytes go together.
 
-    Null and negative sizes count as 0. Only one row for each 8192 ids meets in one task.
+    Null and negative sizes count as 0. The manifest is frozen in ranges of its order of about MANIFEST_BUCKET files each, whatever the
+    ids look like; sums run inside the ranges, and only one row for each range meets in one task.
     """
     m = manifest.withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)))
-    m = prefix_sum(m, F.floor(F.col(order) / MANIFEST_BUCKET), [F.col(order)], "_size", "start_byte").drop("_size")
+    ranges = max(1, -(-m.count() // MANIFEST_BUCKET))
+    m = cut_lineage(m.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
+    m = prefix_sum(m, F.col("_range"), [F.col(order)], "_size", "start_byte").drop("_size", "_range")
     return m.withColumn("group_no", F.floor(F.col("start_byte") / target).cast("bigint"))
 
 

@@ -91,9 +91,11 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def walk_until_repeat(df: DataFrame, walk: str, page: str, links: str, cap: int = 1000) -> DataFrame:
     """The pages of each walk before its first empty page, or the first whose set of links equals that of the page before.
 
-    ``cap`` is the feature of the walk (a page number), not a row limit of the operator.
+    ``cap`` is the feature of the walk (a page number), not a row limit of the operator. Pages beyond it go first, so that no walk
+    brings more than ``cap`` pages into a task, repeated page numbers aside.
     """
+    df = df.filter(F.col(page) <= cap)
     w = Window.partitionBy(walk).orderBy(page)
     s = F.array_sort(F.array_distinct(F.coalesce(F.col(links), F.array().cast("array<string>"))))
-    stop = F.when((F.size("_s") == 0) | F.coalesce(F.col("_s") == F.lag("_s").over(w), F.lit(False)) | (F.col(page) > cap), 1).otherwise(0)
+    stop = F.when((F.size("_s") == 0) | F.coalesce(F.col("_s") == F.lag("_s").over(w), F.lit(False)), 1).otherwise(0)
     return df.withColumn("_s", s).withColumn("_stop", stop).withColumn("_stops", F.sum("_stop").over(w)).filter("_stops = 0").drop("_s", "_stop", "_stops")

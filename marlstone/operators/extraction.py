@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.dom import Node, parse
 from ..functions.text import ENTITIES
 from ..functions.urls import is_product_url
+from .page_flags import looks_blocked
 
 LISTING_FIELDS = ["market_name", "listing_title", "price", "dosage", "rating", "review", "description", "number_in_stocks", "category", "ship_from", "ship_to"]
 DESCRIPTION_CUT = 500
@@ -440,3 +441,9 @@ def hinted_links_column(most: int) -> Callable[..., Column]:
 
 def hosts_column(pattern: str) -> Callable[..., Column]:
     return _column(lambda h, _: [{"host": k, "name": v} for k, v in hosts_in(h, pattern).items()], "array<struct<host:string,name:string>>")
+
+
+def empty_pages(pages: DataFrame, id_col: str = "row_id", base: str = "category_page") -> DataFrame:
+    """(id, html, looks_blocked): pages with html but without product links, set aside to see why."""
+    p = pages.filter(F.coalesce(F.col("html"), F.lit("")) != "").select(id_col, "html", product_links_column(F.col("html"), F.col(base)).alias("_l"))
+    return p.filter(F.size("_l") == 0).select(id_col, "html", looks_blocked(F.col("html")).alias("looks_blocked"))

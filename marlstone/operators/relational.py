@@ -107,6 +107,11 @@ def ranked(df: DataFrame, score: str, hits: str, order: str) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(score), F.lit(-1)).desc(), F.col(hits).desc(), F.col(order))
 
 
+def sorted_folded(df: DataFrame, column: str) -> DataFrame:
+    """Rows in the order of a text column whatever its case; equal ones by the text itself."""
+    return df.orderBy(F.lower(column), column)
+
+
 def first_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """A top-n report: the first n rows of each group. A first rank within salted parts leaves at most 64 n rows a group for
     the second, so a hot group fills no task; Catalyst turns both into group limits before their shuffles."""

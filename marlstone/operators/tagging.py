@@ -93,6 +93,15 @@ def tag(df: DataFrame, terms: list[tuple[str, str, str]], *columns: str) -> Data
     return t.withColumn("matched_terms", names("term")).withColumn("matched_categories", names("category")).drop("_hay", "_hits")
 
 
+def keyword_pages(pages: DataFrame, keywords: list[str], html: str = "html") -> DataFrame:
+    """The pages whose raw text holds a keyword as it stands, whatever the case; no keyword, no page."""
+    low = F.lower(F.coalesce(F.col(html), F.lit("")))
+    hit = F.lit(False)
+    for k in keywords:
+        hit = hit | F.contains(low, F.lit(k.lower()))
+    return pages.filter(hit)
+
+
 def flat_terms(dictionary: DataFrame) -> DataFrame:
     """(term, category): distinct terms whatever their case; the first spelling by category and term stays, with its category."""
     t = dictionary.withColumn("term", F.trim("term")).filter("term <> ''")

@@ -165,6 +165,13 @@ def product_link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("case_id", F.replace("u", F.lit("http://h.example.org"), F.lit("")).alias("link"))
 
 
+@_cases("case_id, looks_blocked", "('text', false), ('blocked', true), ('limit', true)")
+def quarantine_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without product links, and whether they look blocked."""
+    p = _pages(spark, {"text": "<p>nothing</p>", "blocked": "<p>Solve this CAPTCHA</p>", "limit": "Rate limit reached", "links": '<a href="/item/1">captcha</a>', "empty": ""})
+    return extraction.empty_pages(p).join(p.select("row_id", "case_id"), "row_id").select("case_id", "looks_blocked")
+
+
 PAGER_PAGES = {
     "next": '<a rel="next" href="?page=2">n</a><div class="pagination"><a href="?page=3">3</a></div>', "bar": '<div class="pagination"><a href="?page=3">3</a><a href="?page=2">2</a><a href="?page=3">3</a></div><nav><a href="http://other.example.org/">o</a><a href="/x">x</a></nav>', "none": "<a href='?page=2'>2</a>",
 }

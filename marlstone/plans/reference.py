@@ -356,7 +356,9 @@ WHERE NOT EXISTS (SELECT 1 FROM products_html p WHERE p.market = m.market AND co
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites and terms without a landed category page that names the term."""
     pages, terms = _pages(spark, sf_dir).select("market", "category_page").filter("market is not null").distinct(), read_table(spark, sf_dir, "term_dictionary")
-    done = relational.grid(pages, terms, "term").filter(F.contains(F.lower("category_page"), F.lower("term"))).select("market", "term")
+    words = sorted({w for _, w, _ in tagging.load_terms(terms)})
+    named = F.filter(F.array(*[F.when(F.contains(F.lower("category_page"), F.lit(w.lower())), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    done = pages.select("market", F.explode(named).alias("term"))
     return relational.pending(relational.grid(pages.select("market").distinct(), terms, "term"), done, ["market", "term"], folded=["term"])
 
 
@@ -575,3 +577,19 @@ def judged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = [(r.category, r.term) for r in read_table(spark, sf_dir, "term_dictionary").distinct().orderBy("category", "term").collect()]  # a small dimension
     replies = cut_lineage(judging.judge_pending(t, spark.createDataFrame([], "cache_key string, reply string"), "rules", judging.rule_judge(terms)))
     return judging.judged(t, replies, "rules").select("listing_id", F.col("llm_relevant").alias("relevant"), F.col("llm_category").alias("category"), F.trim("llm_product_type").alias("product_type"), F.col("llm_confidence").alias("confidence"))
+
+
+@_query("SELECT row_id FROM products_html WHERE EXISTS (SELECT 1 FROM term_dictionary WHERE contains(lower(html), lower(term)))")
+def keyword_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose raw text holds a term of the dictionary."""
+    terms = sorted({w for _, w, _ in tagging.load_terms(read_table(spark, sf_dir, "term_dictionary"))})
+    return tagging.keyword_pages(_pages(spark, sf_dir).select("row_id", "html"), terms).select("row_id")
+
+
+@_query("SELECT term, row_number() OVER (ORDER BY lower(term), term) AS place FROM (SELECT DISTINCT term FROM term_dictionary)")
+def folded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's terms in order whatever their case; a small dimension."""
+    from pyspark.sql import Window
+
+    t = relational.sorted_folded(read_table(spark, sf_dir, "term_dictionary").select("term").distinct(), "term").withColumn("_at", F.monotonically_increasing_id())
+    return t.select("term", F.row_number().over(Window.orderBy("_at")).alias("place"))
