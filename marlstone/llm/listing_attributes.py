@@ -108,8 +108,18 @@ def pack(text: str, kind: str) -> str:
     return ""
 
 
+def _only(found: set[str]) -> str:
+    """The one thing that is said, '' if there is none or several contradict each other."""
+    found.discard("")
+    return found.pop() if len(found) == 1 else ""
+
+
 def read(title: str | None, description: str | None, dosage: str | None) -> Listing:
-    """The attributes of one listing; '' for what isn't stated."""
+    """The attributes of one listing; '' for what isn't stated.
+
+    What neither title nor a statement of the description nor the dosage field tells is taken from any sentence of the description, if
+    all that it says is one thing.
+    """
     t, d, dose = _norm(title), _norm(description), _norm(dosage)
     said_pack = " ; ".join(_STATES_PACK.findall(d))
     f = form(t) or form(said_pack)
@@ -122,7 +132,12 @@ def read(title: str | None, description: str | None, dosage: str | None) -> List
         if f in LIQUIDS:  # a plain mass beside a concentration tells the content of something else
             found = {x for x in found if x.endswith("/ml")} or found
         s = found.pop() if len(found) == 1 else ""
+    sentences = re.split(r"(?<=[.!?])\s+|\n", d) if not (f and s) else []
+    f = f or _only({form(x) for x in sentences})
+    s = s or _only({strength(x) for x in sentences})
     p = pack(t, f) or pack(said_pack, f)
+    if not p:
+        p = _only({pack(x, f) for x in re.split(r"(?<=[.!?])\s+|\n", d) if form(x) or f in LIQUIDS})
     name = substance = ""
     for pattern in _STATES_NAME:
         if m := pattern.search(d):

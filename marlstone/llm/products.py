@@ -175,29 +175,46 @@ def fit_index(signatures: DataFrame) -> Index:
     return Index([r.text for r in rows], size.n / max(1, size.v))
 
 
-def _joined(s: pd.DataFrame, q: pd.DataFrame, similar: float) -> list[tuple[int, int]]:
-    """Edges (least, other) of the groups that mutual neighbours of one block make; queries come in slices, which bounds the memory."""
-    ids, names, ns = s["sig"].to_numpy(), s["name"].to_numpy(), s["n"].to_numpy()
-    sv = np.frombuffer(b"".join(s["v"]), dtype=np.int8).reshape(len(s), -1).astype(np.float32) / 127
-    code, kinds = pd.factorize(names)
-    edges: set[tuple[int, int]] = set()
-    for at in range(0, len(q), 1024):
-        part = q.iloc[at : at + 1024]
-        qv = np.frombuffer(b"".join(part["v"]), dtype=np.int8).reshape(len(part), -1).astype(np.float32) / 127
-        hit = qv @ sv.T >= similar
-        asked, homes = part["sig"].to_numpy(), part["home"].to_numpy()
-        for i in np.flatnonzero(hit.any(1)):
-            mine, name, n = int(asked[i]), part["name"].iat[i], int(part["n"].iat[i])
-            near = np.flatnonzero(hit[i])
-            # One edge to each name among the neighbours is enough: the block's wordings of one name meet through its own edges.
-            for k in np.unique(code[near]):
-                of = near[code[near] == k]
-                of = of[[homes[i] in s["probe"].iat[j] for j in of]]
-                if len(of) and same_name(name, kinds[k], n, int(ns[of[0]])):
-                    least = int(ids[of].min())
-                    if least != mine:
-                        edges.add((min(least, mine), max(least, mine)))
-    return sorted(edges)
+class _Rows:
+    """The rows of a search task as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.v = np.frombuffer(b"".join(pdf["v"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32) / 127
+        self.sig, self.n, self.home, self.probe = (pdf[c].to_numpy() for c in ("sig", "n", "home", "probe"))
+        self.name, self.names = pd.factorize(pdf["name"])
+        self.cut: dict[tuple[int, int], bool] = {}
+
+    def one_name(self, i: int, j: int) -> bool:
+        """``same_name`` for two rows."""
+        a, b = self.name[i], self.name[j]
+        if a == b:
+            return True
+        key = (a, b)
+        if key not in self.cut:
+            self.cut[key] = same_name(self.names[a], self.names[b], int(self.n[i]), int(self.n[j]))
+        return self.cut[key]
+
+    def edges(self, lo: int, mid: int, hi: int, similar: float) -> set[tuple[int, int]]:
+        """Edges (less, greater) between the wordings stored in rows lo to mid and those asked for in mid to hi; queries come in slices, which bounds the memory."""
+        out: set[tuple[int, int]] = set()
+        stored = self.v[lo:mid].T
+        for at in range(mid, hi, 1024):
+            end = min(hi, at + 1024)
+            hit = (self.v[at:end] @ stored >= similar) & (self.sig[at:end, None] != self.sig[None, lo:mid])
+            for i in np.flatnonzero(hit.any(1)):
+                q = at + int(i)
+                mutual = [j for j in (lo + np.flatnonzero(hit[i])).tolist() if self.home[q] in self.probe[j]]
+                # One edge to each name among the neighbours is enough: the block's wordings of one name meet through its own edges.
+                least: dict[int, int] = {}
+                for j in mutual:
+                    k = self.name[j]
+                    if k not in least or self.sig[j] < self.sig[least[k]]:
+                        least[k] = j
+                for j in least.values():
+                    if self.one_name(q, j):
+                        a, b = int(self.sig[q]), int(self.sig[j])
+                        out.add((a, b) if a < b else (b, a))
+        return out
 
 
 def links(signatures: DataFrame, index: Index) -> DataFrame:
@@ -233,13 +250,14 @@ def links(signatures: DataFrame, index: Index) -> DataFrame:
         pdf = pdf.sort_values(["cell", "block", "side"], kind="stable").reset_index(drop=True)
         key = pdf["cell"].to_numpy().astype(np.int64) * 1000003 + pdf["block"].to_numpy()
         side = pdf["side"].to_numpy()
+        rows = _Rows(pdf)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(pdf)]])
-        edges: list[tuple[int, int]] = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
+        edges: set[tuple[int, int]] = set()
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            if mid > lo and hi - mid > 1 - (mid - lo > 1):
-                edges += _joined(pdf.iloc[lo:mid], pdf.iloc[mid:hi], similar)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            if lo < mid < hi and (mid - lo > 1 or hi - mid > 1):
+                edges |= rows.edges(lo, mid, hi, similar)
+        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
 
     cols = ["cell", "block", "side", "sig", "name", "n", "v", "home", "probe"]
     both = stored.select(*cols).unionByName(asked.select(*cols)).withColumn("task", F.pmod(F.xxhash64("cell", "block"), F.lit(groups_of_cells)))

@@ -9,6 +9,7 @@ from marlstone.llm import title_encoder as E
 @pytest.mark.parametrize(("title", "desc", "dose", "want"), [
     ("Zivirmargol 200 mg 2 x 14 pessaries", "", "", ("pessary", "200000", "28")), ("TABS N7, Runo, 0,5 gr.", "", "", ("tablet", "500000", "7")), ("caps (10 ct) Runo", "Active content: 500 Mg.", "", ("capsule", "500000", "10")),
     ("Runo", "Supplied as box of 10 x 0.2 cl vial. Dose per unit is 20 mg/1 ml.", "", ("vial", "20000/ml", "10x2000ul")), ("Runo 60 ML bottle syrup", "", "100 mg | 20 milligrams/5 mL", ("syrup", "4000/ml", "1x60000ul")), (None, None, None, ("", "", "")),
+    ("Runo", "Comes from a good shop. These are 28 tablets of 5 mg each.", "", ("tablet", "5000", "28")), ("Runo", "Tablets of 5 mg. Tablets of 10 mg.", "", ("tablet", "", "")),
     ("Runo 3 blisters of 14 film-coated tablets", "", "5 mg | 7 mg", ("tablet", "", "42")), ("1 vial 0.5cl Runo", None, None, ("vial", "", "1x5000ul")),
 ])
 def test_attributes(title, desc, dose, want):
