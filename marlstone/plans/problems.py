@@ -114,7 +114,7 @@ def _consistent_sql(feed: str, columns: dict[str, str]) -> str:
     cols = ", ".join(f"{'max(' + value[c] + ')' if c in value else 'max(main)'} FILTER (c = '{c}' AND first) AS {c}" for c in columns)
     typed = [c for c in columns if c in value]
     bad = " OR ".join(f"(c = '{c}' AND main IS NOT NULL AND ({value[c]}) IS NULL)" for c in typed)
-    return f"""
+    return rf"""
 WITH r AS (SELECT * FROM raw_records WHERE feed = '{feed}'),
 j AS (SELECT rec_id, payload, unnest(json_keys(payload)) AS field, generate_subscripts(json_keys(payload), 1) AS place FROM r WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 v AS (SELECT rec_id, field, place, json_extract(payload, '$."' || field || '"') AS x FROM j),
