@@ -32,7 +32,7 @@ RECALL = 0.995
 BLOCK = 4096  # vectors of a cell in one block at most
 TASK_ROWS = 20_000  # rows of the search in one group of cells, about
 SIMILAR = 0.4  # cosine above which wordings are neighbours, at most; lower if damaged copies lie further apart
-MISSED_COPIES = 0.005  # share of the damaged copies that may lie further
+MISSED_COPIES = 0.001  # share of the damaged copies that may lie further
 ATTESTED = 4  # listings that make a name well attested
 MISSPELT = 0.1  # share of a name's listings up to which another spelling, however often it occurs, can be a misspelling of it
 LEAST_A_CENTROID = 3  # wordings of the sample for each centroid
