@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import details, discovery, extraction, page_flags, relational, search
+from ..operators import details, discovery, extraction, judging, page_flags, relational, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -337,6 +337,37 @@ def scalar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("n", T.resolved_category(F.col("v"), F.col("m")).alias("category"), T.recency(F.col("at")).alias("seconds"), T.cell(F.col("flag"), "boolean").alias("cell"), F.coalesce(T.single_line(F.col("t")), F.lit("")).alias("line"), U.strip_fragment(F.col("u")).alias("url"), discovery.percent(F.col("f")).alias("pct"))
 
 
+@_cases("id, site, relevant, price", "(1, 'Second site', true, '5'), (2, 'Second site', NULL, NULL)")
+def overlay_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict laid over records, in which the right side wins, and a site's name written over all rows."""
+    d = spark.createDataFrame([(1, "a", False, "5", True), (2, "b", True, None, None)], "id int, site string, relevant boolean, price string, verdict boolean")
+    return relational.overlay(d, {"relevant": F.col("verdict"), "site": F.lit("Second site")}).drop("verdict")
+
+
+@_cases("round, what, n", "(1, 'asked', 2), (1, 'approved', 1), (2, 'asked', 1), (2, 'approved', 2)")
+def verdict_cache_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge is asked in two rounds: equal wordings once, what the cache holds not again; failures aren't cached."""
+    schema = "listing_title string, market_name string, description string"
+    one = spark.createDataFrame([("pill", "m", None), ("pill", "m", None), ("ring", "m", ""), ("fails", "m", "")], schema)
+    two = one.unionByName(spark.createDataFrame([("new pill", "m", "")], schema))
+    rules = judging.rule_judge([("abortion", "pill")])
+    judge = lambda prompt: None if "fails" in prompt else rules(prompt)
+    empty = spark.createDataFrame([], "cache_key string, reply string")
+    first = judging.judge_pending(one, empty, "m1", judge)
+    second = judging.judge_pending(two, first, "m1", judge)
+    n = lambda r, what, df: df.agg(F.lit(r).alias("round"), F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    yes = lambda rows, cache: relational.approved(judging.judged(rows, cache, "m1"), "llm_relevant").select("listing_title").distinct()
+    return n(1, "asked", first).unionByName(n(1, "approved", yes(one, first))).unionByName(n(2, "asked", second)).unionByName(n(2, "approved", yes(two, first.unionByName(second))))
+
+
+@_cases("n, category", "(0, false), (1, false), (2, false), (3, false), (4, true), (5, true)")
+def product_detail_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of products are no categories, whatever their depth."""
+    urls = ["/product/a", "/Item/5", "/LISTING/x", "/a/01234567-89ab-cdef-0123-456789abcdef", "/a/01234567-89ab", "/items"]
+    d = spark.createDataFrame([(n, f'<a href="{u}">x</a>') for n, u in enumerate(urls)], "n int, html string")
+    return d.select("n", (F.size(extraction.category_links_column(F.col("html"), F.lit("http://h.example.org/"))) > 0).alias("category"))
+
+
 # ---- reports ----------------------------------------------------------------------------------------------------
 
 _SITES = [
