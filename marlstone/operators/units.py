@@ -4,6 +4,8 @@ table, fall back to the listing's text (and to a source's default, if given), ap
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,64 +87,69 @@ def _blanks(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), "\u00a0\u202f\u2009\u2007", "    ")
 
 
-def price_amounts(df: DataFrame) -> DataFrame:
-    """(listing_id, n, number, alias): each amount of ``price`` with its own unit, that of its range, or that of the text.
+def price_found(price: Column, text: Column) -> Column:
+    """array<struct<number, alias>>: each amount of a price with its own unit, that of its range, or that of the text; null for none.
 
     In a range the unit may stand once. The text's unit is the currency named by a sentence on prices, else the first
     currency that the title or the description names or attaches to an amount.
     """
     unit = _any(PRICE_UNITS)
     amount = rf"(?iu)({unit})?\s*({_NUMBER})\s*({unit})?"
-    p = _blanks(F.col("price"))
     found = F.transform(
-        F.regexp_extract_all(p, F.lit(amount), F.lit(0)),
-        lambda m: F.struct(F.regexp_extract(m, amount, 2).alias("number"), F.coalesce(spelling(F.regexp_extract(m, amount, 1)), spelling(F.regexp_extract(m, amount, 3))).alias("alias")),
+        F.regexp_extract_all(_blanks(price), F.lit(amount), F.lit(0)),
+        lambda m: F.struct(decimal_number(F.regexp_extract(m, amount, 2)).alias("number"), F.coalesce(spelling(F.regexp_extract(m, amount, 1)), spelling(F.regexp_extract(m, amount, 3))).alias("alias")),
     )
-    text = _blanks(F.concat_ws(" \n ", "listing_title", "description"))
     said = rf"(?iu)(?:pric|quot|bill|amounts?|charg|preis|prix|precio|preço|цен)[^.\n]*?(?<![\p{{L}}])({unit})"
     named = rf"(?iu)(?<![\p{{L}}\p{{N}}])({unit})"
-    other = F.coalesce(spelling(_first(text, said, 1)), spelling(_first(text, named, 1)))
-    t = df.select("listing_id", found.alias("_a"), F.when(F.exists(found, lambda x: x["alias"].isNull()), other).alias("_text"))
-    t = t.withColumn("_range", F.get(F.filter("_a", lambda x: x["alias"].isNotNull()), F.lit(0))["alias"])
-    t = t.select("listing_id", "_text", "_range", F.explode("_a").alias("_x"))
-    return t.select("listing_id", decimal_number(F.col("_x.number")).alias("number"), F.coalesce("_x.alias", "_range", "_text").alias("alias"))
+    # The texts are searched only if the whole field names no unit.
+    other = F.coalesce(F.get(F.filter(found, lambda x: x["alias"].isNotNull()), F.lit(0))["alias"], spelling(_first(text, said, 1)), spelling(_first(text, named, 1)))
+    return F.when(F.exists(found, lambda x: x["alias"].isNull()), F.transform(found, lambda x: F.struct(x["number"].alias("number"), F.coalesce(x["alias"], other).alias("alias")))).otherwise(found)
 
 
-def dose_amounts(df: DataFrame) -> DataFrame:
-    """(listing_id, number, alias): each amount of ``dosage`` with its own unit, or that which the text gives for it.
+def dose_found(dosage: Column, text: Column) -> Column:
+    """array<struct<number, alias>>: each amount of a dosage with its own unit, or that which the text gives for it; null for none.
 
     A bare number takes the unit that the title, else the description, attaches to an equal number, else the first mass
     unit stated there. Amounts in units that can't be converted lack no unit and give none.
     """
     unit = _any(DOSE_UNITS, FOREIGN_UNITS)
     amount = rf"(?iu)({_NUMBER})\s*({unit})?"
-    p = _blanks(F.col("dosage"))
-    found = F.transform(F.regexp_extract_all(p, F.lit(amount), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, amount, 1).alias("number"), spelling(F.regexp_extract(m, amount, 2)).alias("alias")))
+    found = F.transform(F.regexp_extract_all(_blanks(dosage), F.lit(amount), F.lit(0)), lambda m: F.struct(decimal_number(F.regexp_extract(m, amount, 1)).alias("number"), spelling(F.regexp_extract(m, amount, 2)).alias("alias")))
     mass = _any(["ng", "ug", "mg", "g", "kg"])
     stated = rf"(?iu)(?<![\p{{L}}\p{{N}}.,])({_NUMBER})\s*({mass})"
-    text = _blanks(F.concat_ws(" \n ", "listing_title", "description"))
     pairs = F.transform(F.regexp_extract_all(text, F.lit(stated), F.lit(0)), lambda m: F.struct(decimal_number(F.regexp_extract(m, stated, 1)).alias("number"), spelling(F.regexp_extract(m, stated, 2)).alias("alias")))
-    t = df.select("listing_id", found.alias("_a"), F.when(F.exists(found, lambda x: x["alias"].isNull()), pairs).alias("_t"))
-    t = t.select("listing_id", "_t", F.explode("_a").alias("_x"))
-    t = t.select("listing_id", "_t", decimal_number(F.col("_x.number")).alias("number"), F.col("_x.alias").alias("_own"))
-    # The pair is found by a filter whose lambda sees the row's own number.
-    equal = F.expr("get(filter(_t, y -> y.number = number), 0).alias")
-    first = F.expr("get(_t, 0).alias")
-    return t.select("listing_id", "number", F.coalesce(F.col("_own"), equal, first).alias("alias"))
+    # The pairs are bound once, and only where an amount lacks its unit.
+    bound = F.when(F.exists(found, lambda x: x["alias"].isNull()), F.array(pairs))
+    told = lambda x: F.get(F.transform(bound, lambda t: F.coalesce(F.get(F.filter(t, lambda y: y["number"] == x["number"]), F.lit(0))["alias"], F.get(t, F.lit(0))["alias"])), F.lit(0))
+    return F.when(bound.isNull(), found).otherwise(F.transform(found, lambda x: F.struct(x["number"].alias("number"), F.coalesce(x["alias"], told(x)).alias("alias"))))
+
+
+def amounts(df: DataFrame) -> DataFrame:
+    """(listing_id, kind, number, alias): the amounts of price and dosage (kind 'price' and 'dose') of each listing, in one pass."""
+    text = _blanks(F.concat_ws(" \n ", "listing_title", "description"))
+    kinds = [_of_kind(a, k) for k, a in (("price", price_found(F.col("price"), text)), ("dose", dose_found(F.col("dosage"), text)))]
+    return df.select("listing_id", F.explode(F.concat(*[F.coalesce(k, F.array().cast(_AMOUNTS)) for k in kinds])).alias("_x")).select("listing_id", "_x.kind", "_x.number", "_x.alias")
+
+
+_AMOUNTS = "array<struct<kind:string,number:decimal(20,8),alias:string>>"
+
+
+def _of_kind(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["number"].alias("number"), x["alias"].alias("alias"))).cast(_AMOUNTS)
 
 
-def common_units(amounts: DataFrame, factors: DataFrame, ids: list[str], default: DataFrame | None = None) -> DataFrame:
+def common_units(amounts: DataFrame, factors: DataFrame, ids: list[str], default: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
     """(ids, quantity, low_value, high_value): lowest and highest amount of each quantity, in common units, rounded half up.
 
     ``factors`` has unit, quantity, factor and, where scales don't start at zero, offset: value = number * factor + offset.
     Amounts whose unit is unknown, or not in ``factors``, give no row. ``default``, if given, holds ids and a unit spelling
-    for a source that states none. Both dimension tables are small and joined by whatever their size suggests to Catalyst.
+    for a source that states none; ``also`` names columns in which an amount and its factor must agree. Both dimension tables are small and joined by whatever their size suggests to Catalyst.
     """
     spark = amounts.sparkSession
     if default is not None:
         amounts = amounts.join(default.withColumnRenamed("alias", "_default"), ids, "left").withColumn("alias", F.coalesce("alias", "_default"))
     offset = F.coalesce(F.col("offset"), F.lit(0)).cast("decimal(20,6)") if "offset" in factors.columns else F.lit(0).cast("decimal(20,6)")
-    t = amounts.join(alias_table(spark), "alias").join(factors.select("unit", "quantity", F.col("factor").cast("decimal(20,6)").alias("factor"), offset.alias("_offset")).distinct(), "unit")
+    t = amounts.join(alias_table(spark), "alias").join(factors.select("unit", "quantity", *also, F.col("factor").cast("decimal(20,6)").alias("factor"), offset.alias("_offset")).distinct(), ["unit", *also])
     value = F.round(F.col("number") * F.col("factor") + F.col("_offset"), 0).try_cast("bigint")
     t = t.withColumn("_v", value).filter("_v is not null")
     return t.groupBy(*ids, "quantity").agg(F.min("_v").alias("low_value"), F.max("_v").alias("high_value"))
@@ -150,6 +157,5 @@ def common_units(amounts: DataFrame, factors: DataFrame, ids: list[str], default
 
 def listing_quantities(listings: DataFrame, factors: DataFrame) -> DataFrame:
     """Price, mass and volume of each listing in common units. Rows with equal listing_id are one listing; null fields state nothing."""
-    price = common_units(price_amounts(listings), factors.filter("quantity = 'price'"), ["listing_id"])
-    dose = common_units(dose_amounts(listings), factors.filter("quantity <> 'price'"), ["listing_id"])
-    return price.unionByName(dose)
+    priced = factors.withColumn("kind", F.when(F.col("quantity") == "price", "price").otherwise("dose"))
+    return common_units(amounts(listings), priced, ["listing_id"], also=["kind"])
